@@ -25,6 +25,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share."""
+    checkpoint_folder(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once, store it in the shared folder and read from there."""
     checkpoint_folder(frame.sparkSession)
