@@ -1,10 +1,62 @@
-"""The pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""From raw documents to training shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tideline.durable import shared_folder
+from tideline.llm import binary, decontaminate, mixing, quality, simhash
+from tideline.llm.catalog import tokenizer
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the robust outlier test keep."""
+    return quality.keep_good(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of fingerprints (five words) within three bits."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as the mix uses them."""
+    return mixing.training_order(docs)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences in their shards."""
+    return binary.training_shards(docs, tokenizer("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("binary output", token_shards),
+]
+#: Robust estimates, fingerprints, alignments and tokens have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what is between them goes to the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)

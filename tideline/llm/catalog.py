@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import lines, mixing, quality, simhash, tokens
+from tideline.llm import binary, decontaminate, licences, lines, mixing, quality, secrets, simhash, suffixes, tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,6 +58,11 @@ from c
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each document that other documents repeat."""
+    return suffixes.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document under the 32k piece model."""
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -84,14 +89,59 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All token sequences of all documents in their shards, in training order."""
+    return binary.training_shards(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document; its path is its source, language and number."""
+    path = F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))
+    return licences.scan(_table(spark, sf_dir, "documents"), path=path)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and whether the rules keep it."""
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document leaks."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets in every document."""
+    rows = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def _op10_sql() -> str:
+    """Each rule's matches and the pieces between them, whose lengths add up to places."""
+    quoted = lambda p: p.replace("'", "''")
+    parts = []
+    for rank, rule in enumerate((*secrets.BASE, *secrets.MORE)):
+        p = quoted(rule.pattern)
+        parts.append(f"""select r, doc_id, {rank} as rank, '{rule.kind}' as kind, unnest(f) as f, unnest(g) as g, unnest(p[1:len(f)]) as p, generate_subscripts(f, 1) as i
+  from (select r, doc_id, regexp_extract_all(t, '{p}', 0) as f, regexp_extract_all(t, '{p}', {rule.group}) as g, regexp_split_to_array(t, '{p}') as p from d where regexp_matches(t, '{p}'))""")
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+h as ({" union all ".join(parts)}),
+e as (select r, rank, kind, length(f) as n, sum(length(p) + length(f)) over (partition by r, rank order by i rows unbounded preceding) as e,
+    length(g) >= case kind {" ".join(f"when '{x.kind}' then {x.least}" for x in (*secrets.BASE, *secrets.MORE))} end as ok from h),
+s as (select r, rank, kind, e - n as b, kind || ':' || (e - n)::bigint::varchar || ':' || e::bigint::varchar as span from e where ok),
+a as (select r, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+    string_agg(span, ',' order by b, rank) filter (rank < 3) as base, string_agg(span, ',' order by b, rank) as spans from s group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_line_dedup, op5_simhash, op8_quality_rules)}
+    made = (op1_mixing, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_simhash, op6_binary_output, op7_licences, op8_quality_rules, op9_decontamination, op10_secrets)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_secrets": _op10_sql()}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.durable import cut
-from tideline.llm.text import small_batches, whole
+from tideline.llm.text import row_key, small_batches, whole
 from tideline.operators.graph import connected_components
 
 RADIUS, BITS = 3, 64
@@ -153,3 +153,28 @@ def components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", wi
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
     names = group.join(least, "component").select("point", "component_id")
     return own.join(names, "point").select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", width: int = 5, dense: int = DENSE) -> DataFrame:
+    """One document of each component, with its columns: the one with the smallest ``doc_id`` (null last), then by content.
+
+    Of repeated rows one stays. The texts are shuffled once, to meet the keys of the rows that stay.
+    """
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(ident).alias("doc_id"), F.col(text).alias("text"))
+    keyed = keyed.select("row", "doc_id", "text", *row_key(keyed, "doc_id", "text"))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.array([fingerprint(x, width) for x in batch["text"].to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "k1", "k2")), pa.array(points)], ["doc_id", "k1", "k2", "point"])
+
+    kind = docs.schema[ident].dataType.simpleString()
+    own = keyed.select("doc_id", "k1", "k2", whole("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, point long")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    points = cut(own.groupBy("point").agg(F.min(first).alias("first")))
+    reached = connected_components(links(points.select("point"), dense=dense))
+    group = points.join(reached, points["point"] == reached["node"], "left").select("first", F.coalesce("component", "point").alias("component"))
+    stay = group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    kept = keyed.select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
