@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tideline.plans import mining
+from tideline.plans import attribution, mining, reports
 
-MODULES = (mining,)
+MODULES = (mining, attribution, reports)
 
 
 def queries() -> dict:

@@ -98,7 +98,7 @@ def sampled_range(intervals: DataFrame, times: DataFrame, window: int, n: int, l
     order = Window.partitionBy("pattern").orderBy("s", "e")
     inside = intervals.select("pattern", F.floor((F.col("s") + F.col("e")) / 2).alias("t"), F.lit(True).alias("inside"))
     gaps = intervals.select("pattern", F.floor((F.col("e") + F.lead("s").over(order)) / 2).alias("t"), F.lit(False).alias("inside")).where("t is not null")
-    ends = intervals.select("pattern").distinct().select("pattern", F.explode(F.array(F.lit(0), F.lit(top - 1))).cast("long").alias("t"), F.lit(False).alias("inside"))
+    ends = intervals.select("pattern").distinct().select("pattern", F.explode(F.array(F.lit(0).cast("long"), F.lit(top - 1).cast("long"))).alias("t"), F.lit(False).alias("inside"))
     asked = inside.unionByName(gaps).unionByName(ends).where((F.col("t") >= 0) & (F.col("t") < top))
     seen = asked.join(probe(times, asked, window), ["pattern", "t"])
     found = seen.groupBy("pattern").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("support"))), F.lit(0)).alias("high"), F.coalesce(F.min(F.when(~F.col("inside"), F.col("support"))), F.lit(0)).alias("low"))
