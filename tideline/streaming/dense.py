@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from tideline.durable import ship
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "pattern string, s long, e long"
@@ -49,4 +50,5 @@ def dense_runs(stream: DataFrame, window: int, theta: int) -> DataFrame:
         state.update((times, *(run or (None, None))))
         yield pd.DataFrame({"pattern": [key[0]] * len(out), "s": [x[0] for x in out], "e": [x[1] for x in out]})
 
+    ship(stream.sparkSession)
     return stream.groupBy("pattern").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
