@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.durable import ship
+
 #: White space is these six characters and nothing else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +45,7 @@ def row_key(frame: DataFrame, *columns: str) -> list[Column]:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows that reach a Python worker at once, as a text may be megabytes long."""
+    """Make Python workers ready: bound the rows that reach one at once, as a text may be megabytes long, and send the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
