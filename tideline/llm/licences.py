@@ -47,7 +47,7 @@ TRIGGER = r"(?i)licen[cs]e|spdx|copyright|permission|redistribution|public domai
 #: Names of licence files.
 FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
 SIMILAR = 0.8
-SENTENCE = r"\n|(?<=[.!?;])[\x20\x09-\x0D]+"
+SENTENCE = r"\n|(?<=[.!?])[\x20\x09-\x0D]+"
 
 
 def _terms(text: str) -> list[str]:
