@@ -171,7 +171,7 @@ def naive_fingerprint(text):
 def test_simhash_components(spark):
     draw = random.Random(5)
     base = [prose(draw, 200) for _ in range(12)]
-    rows = [(k, b) for k, b in enumerate(base)] + [(100 + k, f"{b} extra") for k, b in enumerate(base)] + [(200 + k, b.upper()) for k, b in enumerate(base)] + ODD
+    rows = [(50 + k, b) for k, b in enumerate(base)] + [(100 + k, f"{b} extra") for k, b in enumerate(base)] + [(200 + k, b.upper()) for k, b in enumerate(base)] + ODD
     prints = {(i, t): naive_fingerprint(t or "") for i, t in rows}
     component = {}
     for p in set(prints.values()):
@@ -190,7 +190,8 @@ def test_simhash_components(spark):
         assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == expected
     assert simhash.components(frame.limit(0)).count() == 0
     kept = simhash.keep_one(frame, width=3)
-    assert kept.columns == frame.columns and {r.doc_id for r in (one := kept.collect())} == set(component.values()) and len(one) == len(set(component.values()))
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == frame.columns and set(ids) == set(component.values()) and len(ids) == len(set(ids))
 
 
 def test_covering_masks_and_centres_lose_no_pair(spark):
