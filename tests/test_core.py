@@ -55,6 +55,20 @@ def test_dense_examples(spark):
         dense.runs(frame, 0, 3)
 
 
+def test_scan_agrees_with_runs_where_nothing_is_counted_twice(spark):
+    draw = random.Random(12)
+    for _ in range(200):
+        ts = sorted(draw.sample(range(80), draw.randint(0, 40)))
+        whole = [(ts[0], ts[-1])] if ts else []
+        assert dense.scan(ts, 6, 3, whole) == left_ends(ts, 6, 3)
+    assert dense.scan([5, 5, 5, 5, 5, 8, 12, 16], 10, 3, [(5, 16)], "span") == [(5, 16)]
+    # the second run begins inside the span of the first, and starts after it
+    assert dense.scan([0, 1, 2, 9, 10, 11], 5, 2, [(0, 11)], "span") == [(0, 2), (9, 11)]
+    frame = times(spark, {"a": [0, 1, 2, 9, 10, 11], "b": [3]})
+    ranges = spark.createDataFrame([("a", 0, 11), ("b", 0, 9), ("c", 0, 1)], "pattern string, s long, e long")
+    assert {tuple(r) for r in dense.scanned_within(frame, 5, 2, ranges, "span").collect()} == {("a", 0, 2), ("a", 9, 11)}
+
+
 def occ_of(spark, transactions):
     frame = spark.createDataFrame([(t, bs) for t, bs in enumerate(transactions)], "t long, baskets array<array<long>>")
     return postings.occurrences(frame)
@@ -101,6 +115,8 @@ def test_mining_matches_brute_force(spark):
                 now.add(p)
         level = now
     assert got == expected
+    if all(len(tx) < 2 for tx in data):  # one basket each: a scan finds the same
+        assert mined(spark, data, w, th, scanned=True) == expected
 
 
 def test_index_and_dictionary(spark):

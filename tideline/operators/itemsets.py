@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.durable import cut
-from tideline.operators.dense import check, runs, runs_within
+from tideline.operators.dense import check, runs, runs_within, scanned_within
 from tideline.operators.intervals import at_least, overlap
 from tideline.operators.postings import by_transaction, small
 
@@ -35,19 +35,26 @@ def singles(occ: DataFrame, window: int, theta: int, convention: str = "left_end
     return runs(times, window, theta, convention=convention)
 
 
-def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 100, convention: str = "left_endpoint") -> DataFrame:
+def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 100, convention: str = "left_endpoint", scanned: bool = False) -> DataFrame:
     """M4: ``(pattern, size, s, e)`` of all dense itemsets, single items included.
 
     ``occ``: ``(t, basket_id, item)``, each item once per basket. Items that are
     never dense are dropped first. Every level joins the occurrences of the
     level before with single items of the same basket, keeps the candidates and
     finds their dense intervals inside the common ranges of their items. The
-    driver only asks whether a level is empty; each level is stored.
+    driver only asks whether a level is empty; each level is stored. With
+    ``scanned``, intervals are those of a scan in order (:func:`dense.scan`)
+    instead of runs cut to the ranges.
     """
     check(window, theta)
     first = cut(singles(occ, window, theta, convention))
-    found = [first.select("pattern", F.lit(1).alias("size"), "s", "e")]
-    level = cut(first.select("pattern").distinct())
+    within = scanned_within if scanned else runs_within
+    shown = first
+    if scanned:
+        times = by_transaction(occ).select(F.array("item").alias("pattern"), "t")
+        shown = cut(within(times, window, theta, times.groupBy("pattern").agg(F.min("t").alias("s"), F.max("t").alias("e")), convention=convention))
+    found = [shown.select("pattern", F.lit(1).alias("size"), "s", "e")]
+    level = cut(shown.select("pattern").distinct())
     items = level.select(F.col("pattern")[0].alias("item"))
     base = cut(occ.join(small(items), "item", "left_semi").select("basket_id", "t", "item"))
     held = base.select("basket_id", "t", F.array("item").alias("pattern"))
@@ -67,7 +74,7 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
         pairs = held.join(base.withColumnsRenamed({"t": "__t"}), "basket_id").where(F.element_at("pattern", -1) < F.col("item"))
         held = pairs.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")).join(wanted, "pattern", "left_semi")
         held = cut(held)
-        dense = cut(runs_within(held.select("pattern", "t"), window, theta, allowed, convention=convention))
+        dense = cut(within(held.select("pattern", "t"), window, theta, allowed, convention=convention))
         level = cut(dense.select("pattern").distinct())
         held = held.join(small(level), "pattern", "left_semi")
         found.append(dense.select("pattern", F.lit(size).alias("size"), "s", "e"))

@@ -90,6 +90,13 @@ def d2_within_ranges(spark, d):
     return dense.runs_within(own, W, TH, ranges).select(base.text(), "s", "e")
 
 
+def d2_scanned(spark, d):
+    """Runs found by scanning from the first to the last occurrence of each brand."""
+    own = base.occ(spark, d).select(F.array("item").alias("pattern"), "t")
+    ranges = own.groupBy("pattern").agg(F.min("t").alias("s"), F.max("t").alias("e"))
+    return dense.scanned_within(own, W, TH, ranges).select(base.text(), "s", "e")
+
+
 def dense_brand_pairs(spark, d):
     """The flagship: dense pairs of brands with their intervals."""
     return base.pairs(spark, d, MINE)[0].select(base.text(), "s", "e")
@@ -147,7 +154,7 @@ def hourly_user_itemsets(spark, d):
     return itemsets.dense_itemsets(cut(made), 24, 4, max_length=2).where("size = 2").select(base.text(), "s", "e")
 
 
-QUERIES = [r7_dictionary, f1_basket_postings, f2_transaction_postings, f5_bag_projection, f6_intersection, f7_interval_intersection, f9_covering, f10_covered, f11_insert_merge, d1_left_endpoint, d1_span, d2_within_ranges, dense_brand_pairs, m1_candidates, m2_prune, m4_dense_itemsets, m4_several_baskets, m6_timestamps, m7_pair_counts, w1_pattern_rows, w2_interval_lines, w3_transaction_lines, hourly_user_itemsets]
+QUERIES = [r7_dictionary, f1_basket_postings, f2_transaction_postings, f5_bag_projection, f6_intersection, f7_interval_intersection, f9_covering, f10_covered, f11_insert_merge, d1_left_endpoint, d1_span, d2_within_ranges, d2_scanned, dense_brand_pairs, m1_candidates, m2_prune, m4_dense_itemsets, m4_several_baskets, m6_timestamps, m7_pair_counts, w1_pattern_rows, w2_interval_lines, w3_transaction_lines, hourly_user_itemsets]
 
 _ONE = f"with{SQL_BASE},\nt1 as (select item, t from occ),{sql_dense('t1', 'd1', W, TH, 'item')}"
 _TWO = f"with{sql_pairs(W, TH)}"
@@ -166,6 +173,7 @@ SQL = {
     "f10_covered": f"{_ONE},{sql_dense('t1', 'dw', W, TH - 2, 'item')} select item, s, e, exists (select 1 from dw where dw.item = d1.item and dw.s + 5 <= d1.s and d1.e <= dw.e) as covered from d1",
     "f11_insert_merge": f"{_ONE}, al as (select item, s, e from d1 union all select item - 1, s, e from d1){_MERGED}",
     "d1_left_endpoint": f"{_ONE} select item::varchar as pattern, s, e from d1",
+    "d2_scanned": f"{_ONE} select item::varchar as pattern, s, e from d1",
     "d1_span": f"with{SQL_BASE},\nt1 as (select item, t from occ),{sql_dense('t1', 'd1', W, TH + 4, 'item')} select * from (select item::varchar as pattern, (select min(t) from t1 where t1.item = d1.item and t >= d1.s) as s, (select max(t) from t1 where t1.item = d1.item and t <= d1.e + {W}) as e from d1) where e - s >= {W}",
     "d2_within_ranges": f"{_ONE} select item::varchar as pattern, greatest(s, a) as s, least(e, b) as e from d1 join (values (0, 300), (500, 700), (900, 1300)) as r(a, b) on s <= b and a <= e",
     "dense_brand_pairs": f"{_TWO} select {NAME}, s, e from d2",
