@@ -25,14 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import store
 from tideline.llm.text import small_batches, whole
 
-LONG, SPREAD, GRAM = 50, 32, 5
+LONG, SPREAD, GRAM = 50, 40, 5
 REACH = LONG - SPREAD + 1
+#: Suffixes with the same first words that one task compares, about 5 MB.
+HOT = 50_000
+#: Texts, and places in them, that are sent to all executors at most for extension (about 64 MB); more are joined by a shuffle.
+SEND_TEXTS, SEND_PLACES = 300_000, 8_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,20 +80,30 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
         power = _stir(power[:k] + _stir(power[size // 2 : size // 2 + k]) * MIX)
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """The places of the minimisers of a text; ties go to the left."""
+def _least_of_windows(x: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each window, by doubling."""
+    have = 1
+    while have < wide:
+        step = min(have, wide - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def window_minimisers(h: np.ndarray) -> np.ndarray:
+    """The place of the minimiser of each window of 5-grams; of equal ones the first."""
     grams = run_hashes(h, GRAM)
     if not len(grams):
         return np.empty(0, np.int64)
-    wide = min(SPREAD, len(grams))
-    lowest, have = grams.copy(), 1
-    while have < wide:  # least over windows, by doubling
-        step = min(have, wide - have)
-        lowest = np.minimum(lowest[:-step], lowest[step:])
-        have += step
-    # a place is kept if it is the first least one of some window
-    view = np.lib.stride_tricks.sliding_window_view(grams, wide)
-    return np.unique(np.arange(len(lowest)) + (view == lowest[:, None]).argmax(axis=1))
+    order = np.argsort(grams, kind="stable")
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.arange(len(grams))
+    return order[_least_of_windows(rank, min(SPREAD, len(grams)))]
+
+
+def minimisers(h: np.ndarray) -> np.ndarray:
+    """The places of all minimisers of a text."""
+    return np.unique(window_minimisers(h))
 
 
 def kept_suffixes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,38 +143,64 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
                     take = pa.array(np.full(len(at), i))
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), pa.array(at.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(around.view(np.int64)), pa.array(np.full(len(at), n, np.int32))], ["doc_id", "k", "at", "first", "around", "n"])
 
-    suffixes = cut(rows.mapInArrow(keep, f"doc_id {kind}, k long, at int, first long, around long, n int"))
-    who = F.struct("k", "at")
-    classes = suffixes.groupBy("first", "around").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(who).alias("speaker"))
-    groups = classes.groupBy("first").agg(F.min("k0").alias("g0"), F.max("k1").alias("g1"), (F.count("*") > 1).alias("several")).where("g0 <> g1")
-    shared = classes.join(groups, "first").withColumn("same", F.col("k0") != F.col("k1"))
-    shared = shared.where(F.col("same") | F.col("several")).select("first", "around", "same", "several", "least", "most", "speaker")
-    found = suffixes.join(shared, ["first", "around"])
-    # equal in all that is in reach: settled, and one of them speaks for all when compared with others
-    found = cut(found.select("doc_id", "k", "n", "at", "same", (F.col("several") & (~F.col("same") | (who == F.col("speaker")))).alias("open"), "least", "most").where("same or open"))
+    suffixes = store(rows.mapInArrow(keep, f"doc_id {kind}, k long, at int, first long, around long, n int"))
+    # most first words are like no others, and drop out here
+    again = suffixes.groupBy("first").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("times")).where("k0 <> k1").select("first", "times")
+    found = store(_compared(suffixes.join(again, "first")))
 
-    marks = found.groupBy("doc_id", "k").agg(F.collect_list(F.when(F.col("open"), F.col("at"))).alias("open"))
-    marks = marks.where(F.size("open") > 0).withColumnsRenamed({"doc_id": "m_id", "k": "m_k"})
-    texts = rows.join(marks, (F.col("k") == F.col("m_k")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "k", "text", "open")
+    marks = found.groupBy("doc_id", "k").agg(F.collect_list("at").alias("shared"), F.collect_list(F.when(F.col("open"), F.col("at"))).alias("open"))
+    marks = store(marks.where(F.size("open") > 0).withColumnsRenamed({"doc_id": "m_id", "k": "m_k"}))
+    n, places = marks.agg(F.count("*"), F.sum(F.size("shared") + F.size("open"))).first()
+    marks = F.broadcast(marks) if n <= SEND_TEXTS and (places or 0) <= SEND_PLACES else marks
+    texts = rows.join(marks, (F.col("k") == F.col("m_k")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "k", "text", "shared", "open")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
-            for i, (value, places) in enumerate(zip(batch["text"].to_pylist(), batch["open"].to_pylist())):
-                passages = run_hashes(word_hashes(value, memo), LONG)
+            for i, (value, shared, places) in enumerate(zip(*(batch[c].to_pylist() for c in ("text", "shared", "open")))):
+                hashes = word_hashes(value, memo)
+                passages = run_hashes(hashes, LONG)
                 begin = np.unique((np.array(places, np.int64)[:, None] - np.arange(SPREAD)).ravel())
                 begin = begin[(begin >= 0) & (begin < len(passages))]
+                # a passage whose own minimisers aren't all shared isn't repeated
+                least = window_minimisers(hashes)
+                kept = np.zeros(len(hashes), bool)
+                kept[np.array(shared, np.int64)] = True
+                for k in range(LONG - GRAM - SPREAD + 2):
+                    at = least[begin + k]
+                    begin = begin[(at + REACH > begin + LONG) | kept[at]]
                 if len(begin):
                     take = pa.array(np.full(len(begin), i))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), pa.array(begin.astype(np.int32)), pa.array(passages[begin].view(np.int64)), pa.array(np.full(len(begin), len(passages) + LONG - 1, np.int32))], ["doc_id", "k", "begin", "passage", "n"])
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), pa.array(begin.astype(np.int32)), pa.array(passages[begin].view(np.int64)), pa.array(np.full(len(begin), len(hashes), np.int32))], ["doc_id", "k", "begin", "passage", "n"])
 
-    passages = cut(texts.mapInArrow(extend, f"doc_id {kind}, k long, begin int, passage long, n int"))
+    passages = store(texts.mapInArrow(extend, f"doc_id {kind}, k long, begin int, passage long, n int"))
     equal = passages.groupBy("passage").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("k0 <> k1")
     joined = passages.join(equal, "passage").select("doc_id", "k", "n", "begin", (F.col("begin") + LONG).alias("end"), "least", "most")
     settled = found.where("same").select("doc_id", "k", "n", (F.col("at") - (SPREAD - 1)).alias("begin"), (F.col("at") + LONG).alias("end"), "least", "most")
     return _stretches(settled, joined, kind)
 
 
+def _compared(suffixes: DataFrame) -> DataFrame:
+    """Neighbours compared: ``same`` if a suffix agrees with one of another text in all that is in reach, ``open`` if
+    it is to be extended: others begin alike but differ, and it is not ``same`` or speaks for those that are.
+
+    Up to ``HOT`` suffixes with the same first words are sorted and compared in
+    one task; of more, which could fill a task, those that agree in everything
+    are aggregated before they are shuffled.
+    """
+    who = F.xxhash64("k", "at")
+    measures = {"k0": F.min("k"), "k1": F.max("k"), "least": F.min("doc_id"), "most": F.max("doc_id"), "speaker": F.min(who)}
+    usual, hot = suffixes.where(F.col("times") <= HOT), suffixes.where(F.col("times") > HOT)
+    near, group = Window.partitionBy("first", "around"), Window.partitionBy("first")
+    usual = usual.withColumns({n: c.over(near) for n, c in measures.items()} | {"several": F.min("around").over(group) != F.max("around").over(group)})
+    classes = hot.groupBy("first", "around").agg(*(c.alias(n) for n, c in measures.items()))
+    several = hot.groupBy("first").agg((F.min("around") != F.max("around")).alias("several"))
+    hot = hot.join(classes, ["first", "around"]).join(several, "first")
+    both = usual.unionByName(hot).withColumn("same", F.col("k0") != F.col("k1"))
+    opened = F.col("several") & (~F.col("same") | (who == F.col("speaker")))
+    return both.select("doc_id", "k", "n", "at", "same", opened.alias("open"), "least", "most")
+
+
 def _stretches(settled: DataFrame, extended: DataFrame, kind: str) -> DataFrame:
     """Overlapping passages joined up, cut off at the ends of the text, and long enough."""
     every = settled.unionByName(extended).groupBy("doc_id", "k").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("begin", "end", "least", "most"))).alias("found"))
