@@ -172,3 +172,19 @@ def test_streaming_runs_match_batch(spark, tmp_path):
     query = stream.dense_runs(source, 6, 3).writeStream.outputMode("append").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.pattern, r.s, r.e) for r in spark.table("runs").collect()} == expected
+
+
+def test_experiments(spark):
+    from tideline.operators import experiments
+
+    def scenario(seed):
+        return synthetic.Scenario(n=800, items=8, base=0.05, planted=(synthetic.Planted((3, 7), "E1", "sale", 300, 420, 0.8),), unrelated=(synthetic.Unrelated((1, 2), 600, 700, 0.5),), decoys=(synthetic.Decoy("D1", "decoy", 60, 110),), seed=seed)
+
+    config = pipeline.Config(window=40, theta=12, permutations=100, alpha=0.25, sigma=8.0, seed=1, unit="interval", deduplicate=True)
+    rows = experiments.run(spark, {"a": [scenario(0), scenario(1)]}, config, ("proposed", "coincidence"), max_length=2)
+    assert rows.count() == 4 and evaluation.means(rows.where("method = 'proposed'"), "condition").first().recall == 1.0
+    null = synthetic.Scenario(n=600, items=6, base=0.05, unrelated=(synthetic.Unrelated((1, 2), 300, 360, 0.6),), decoys=(synthetic.Decoy("D1", "decoy", 20, 40),))
+    assert evaluation.null_discoveries(experiments.null_run(spark, [null], config)).first().seeds == 1
+    base = synthetic.occurrences(spark, synthetic.Scenario(n=600, items=6, base=0.2))
+    made = experiments.semi_synthetic(base, [synthetic.Planted((2, 5), "E1", "sale", 200, 320, 3.0)], [], 600, pipeline.Config(window=40, theta=16, permutations=100, alpha=0.3, sigma=8.0, seed=2))
+    assert made.first().recall == 1.0
