@@ -138,10 +138,33 @@ from d left join a using (r)
 """
 
 
+def _op7_sql() -> str:
+    """Sentences, their vectors and cosines; no path of this query names a licence file, so nothing is inherited."""
+    known = ", ".join(f"('{t}', '{name}', '{name}#{k}', {float(ts.count(t))})" for name, texts in licences.TEMPLATES.items() for k, text in enumerate(texts) for ts in [licences._terms(text)] for t in dict.fromkeys(ts))
+    return f"""
+with d as (select row_number() over () as r, doc_id, concat_ws('/', '', source, lang, doc_id) as path, coalesce(text, '') as t from documents),
+s as (select r, list_filter(string_split(regexp_replace(t, '{licences.STOP}', '\\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{licences.TRIGGER}')) as s from d),
+u as (select r, unnest(s) as said, generate_subscripts(s, 1) as u from s),
+w as (select r, u, term, count(*)::double as tf from (select r, u, unnest(regexp_extract_all(lower(said), '[a-z0-9]+')) as term from u) group by all),
+n as (select count(*)::double as n from (select distinct r, u from w)),
+k as (select term, licence, template, tf::double as tf from (values {known}) as v(term, licence, template, tf)),
+f as (select term, count(w.term) as df from (select distinct term from k) left join w using (term) group by term),
+i as (select term, ln((n + 1) / (df + 1)) + 1 as idf from f, n),
+kw as (select term, licence, template, tf * idf as x from k join i using (term)),
+kn as (select template, sqrt(sum(x * x)) as l from kw group by template),
+ww as (select r, u, term, tf * coalesce(idf, ln((n + 1) / 2) + 1) as x from w left join i using (term), n),
+wn as (select r, u, sqrt(sum(x * x)) as l from ww group by r, u),
+c as (select r, u, licence, template, round(sum(ww.x * kw.x) / any_value(wn.l) / any_value(kn.l), 6) as cosine from ww join kw using (term) join wn using (r, u) join kn using (template) group by r, u, licence, template),
+b as (select r, u, licence, cosine, row_number() over (partition by r, u order by cosine desc, licence) as p from c where cosine >= {licences.SIMILAR}),
+o as (select r, count(distinct u) as n_statements, first(licence order by cosine desc, licence) as licence, max(cosine) as similarity from b where p = 1 group by r)
+select doc_id, path, licence, similarity, coalesce(n_statements, 0)::bigint as n_statements, null::varchar as inherited_from, licence as effective from d left join o using (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (op1_mixing, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_simhash, op6_binary_output, op7_licences, op8_quality_rules, op9_decontamination, op10_secrets)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_secrets": _op10_sql()}
+    return {"op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_licences": _op7_sql(), "op10_secrets": _op10_sql()}

@@ -47,7 +47,8 @@ TRIGGER = r"(?i)licen[cs]e|spdx|copyright|permission|redistribution|public domai
 #: Names of licence files.
 FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
 SIMILAR = 0.8
-SENTENCE = r"\n|(?<=[.!?])[\x20\x09-\x0D]+"
+#: A sentence ends at a line end, or at one of these before white space.
+STOP = r"([.!?])[\x20\x09-\x0D]+"
 
 
 def _terms(text: str) -> list[str]:
@@ -81,14 +82,15 @@ def scan(docs: DataFrame, *, path: Column | str = "path", text: str = "text", id
 
     Null and empty texts have no licence of their own; a null path has no
     ancestors. Null ``doc_id`` stays null; repeated rows each give a row. Empty
-    table: no rows. Extra columns are ignored. Units of a hot phrase are
+    table: no rows. Extra columns are ignored. Rows that are equal count once in
+    the document frequencies. Units of a hot phrase are
     counted by partial aggregation; the vectors of a unit are its own rows.
     """
     spark = docs.sparkSession
     where = F.col(path) if isinstance(path, str) else path
     base = docs.select(F.col(ident).alias("doc_id"), where.cast("string").alias("path"), whole(text).alias("text"))
     base = base.select("*", *row_key(base, "doc_id", "path", "text"))
-    sentences = F.filter(F.split("text", SENTENCE), lambda s: F.rlike(s, F.lit(TRIGGER)))
+    sentences = F.filter(F.split(F.regexp_replace("text", STOP, "$1\n"), "\n"), lambda s: F.rlike(s, F.lit(TRIGGER)))
     units = F.when(F.rlike(F.coalesce("path", F.lit("")), F.lit(FILE)), F.array_append(sentences, F.col("text"))).otherwise(F.when(F.rlike("text", F.lit(TRIGGER)), sentences))
     words = base.select("k1", "k2", F.posexplode(units).alias("unit", "said")).select("k1", "k2", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
     counts = cut(words.groupBy("k1", "k2", "unit", "term").agg(F.count("*").cast("double").alias("tf")))
