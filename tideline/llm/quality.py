@@ -178,7 +178,8 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     table, groups = estimates(_grouped(passed, sizes, number), least)
     rows = _grouped(_measured(docs, text, lang, source, True) if carry else base, sizes, number)
     judged = _with(rows, table, groups).withColumn("distance", _distance([F.col(v) for v in x], "estimate"))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    # one comparison that needs the estimate: a filter on it is not taken apart and measured twice
+    kept = F.coalesce("distance", F.lit(0.0)) + F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(F.lit(0.0)) <= cutoff
     own = "row" if carry else "doc_id"
     return judged.select(own, *(F.col("s")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", F.round("distance", 6).alias("distance"), kept.alias("kept"))
 
