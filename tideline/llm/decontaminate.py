@@ -28,7 +28,7 @@ from tideline.llm.text import small_batches, whole
 
 GRAM = 3
 #: Words of a block of the benchmark; of a passage; of the least span that counts; the share of equal columns.
-BLOCK, PASSAGE, SPAN, SIMILAR = 200_000, 256, 25, 0.8
+BLOCK, PASSAGE, SPAN, SIMILAR = 200_000, 256, 13, 0.8
 _WORD = re.compile(r"\w+")
 
 
