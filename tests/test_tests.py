@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.stats import normal_cdf
-from tideline.operators import attribution, baselines, changes, correction, dedup, evaluation, itemsets, pipeline, postings, relations, support
+from tideline.operators import attribution, baselines, correction, dedup, evaluation, itemsets, pipeline, relations
 from tideline.sources import sinks, synthetic
 from tideline.streaming import dense as stream
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.postings import SEND_ROWS  # noqa: F401
 from tideline.operators.support import positions, probe
 
 

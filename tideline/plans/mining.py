@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.durable import cut
-from tideline.operators import dense, intervals, itemsets, postings, support
+from tideline.operators import dense, intervals, itemsets, postings
 from tideline.plans import base
 from tideline.plans.base import MINE, NAME, SQL_BASE, sql_dense, sql_pairs, sql_triples
 from tideline.sources import sinks

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.durable import cut
-from tideline.operators import attribution, baselines, changes, correction, evaluation, itemsets, pipeline, support
+from tideline.operators import baselines, changes, correction, evaluation, itemsets, pipeline, support
 from tideline.plans import attribution as at
 from tideline.plans import base
 from tideline.plans.base import NAME, SQL_BASE
