@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tideline.operators.support import positions, probe
 
 
-def _mean(values: str) -> Column:
-    return F.coalesce(F.avg(values), F.lit(0.0))
-
-
 def from_intervals(intervals: DataFrame, times: DataFrame, window: int, n: int, level: int = 20) -> DataFrame:
     """Change points of dense intervals.
 
