@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.durable import cut
-from tideline.llm.text import BLANKS, SPACE, let, whole, words
+from tideline.llm.text import BLANKS, let, whole, words
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = 5
