@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,18 +98,33 @@ def token_sequences(docs: DataFrame, ranks_path: str, *, text: str = "text", ide
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = _encoding(ranks_path).encode_ordinary, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for own, value in zip(batch["doc_id"], batch["text"].to_pylist()):
-                ids = np.array(encode(value) + [end], np.uint16)
-                rows = -(-len(ids) // length)
-                full = np.full(rows * length, end, "<u2")
-                full[: len(ids)] = ids
-                tokens = pa.Array.from_buffers(pa.binary(2 * length), rows, [None, pa.py_buffer(full)]).cast(pa.binary())
-                counts = np.minimum(len(ids) - np.arange(rows) * length, length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * rows, pa.int32()), pa.array(range(at, at + rows), pa.int64()), pa.array([own.as_py()] * rows, own.type), pa.array(range(rows), pa.int32()), pa.array(counts, pa.int32()), tokens],
+            made: list[np.ndarray] = []
+            owner: list[np.ndarray] = []
+            held = 0
+
+            def out() -> pa.RecordBatch:
+                own, tokens = np.concatenate(owner, axis=1), np.concatenate(made)
+                rows = own.shape[1]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(at, at + rows)), batch["doc_id"].take(pa.array(own[0])), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int32)), pa.Array.from_buffers(pa.binary(2 * length), rows, [None, pa.py_buffer(tokens)]).cast(pa.binary())],
                     ["part", "ord", "doc_id", "seq", "n_tokens", "tokens"],
                 )
-                at += rows
+
+            for i, value in enumerate(batch["text"].to_pylist()):
+                ids = array("H", encode(value))
+                ids.append(end)
+                rows = -(-len(ids) // length)
+                full = np.full(rows * length, end, "<u2")
+                full[: len(ids)] = np.frombuffer(ids, np.uint16)
+                made.append(full)
+                owner.append(np.stack([np.full(rows, i), np.arange(rows), np.minimum(len(ids) - np.arange(rows) * length, length)]))
+                held += rows
+                if held >= 4096:
+                    yield out()
+                    at, made, owner, held = at + held, [], [], 0
+            if held:
+                yield out()
+                at += held
 
     rows = docs.select(F.col(ident).alias("doc_id"), whole(text).alias("text"))
     return rows.mapInArrow(run, f"part int, ord long, doc_id {kind}, seq int, n_tokens int, tokens binary")
