@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.durable import store
 from tideline.llm.text import small_batches, whole
+from tideline.operators.postings import small
 
 LONG, SPREAD, GRAM = 50, 40, 5
 REACH = LONG - SPREAD + 1
@@ -146,7 +147,7 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
     suffixes = store(rows.mapInArrow(keep, f"doc_id {kind}, k long, at int, first long, around long, n int"))
     # most first words are like no others, and drop out here
     again = suffixes.groupBy("first").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("times")).where("k0 <> k1").select("first", "times")
-    found = store(_compared(suffixes.join(again, "first")))
+    found = store(_compared(suffixes, store(again)))
 
     marks = found.groupBy("doc_id", "k").agg(F.collect_list("at").alias("shared"), F.collect_list(F.when(F.col("open"), F.col("at"))).alias("open"))
     marks = store(marks.where(F.size("open") > 0).withColumnsRenamed({"doc_id": "m_id", "k": "m_k"}))
@@ -180,25 +181,28 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
     return _stretches(settled, joined, kind)
 
 
-def _compared(suffixes: DataFrame) -> DataFrame:
+def _compared(suffixes: DataFrame, again: DataFrame) -> DataFrame:
     """Neighbours compared: ``same`` if a suffix agrees with one of another text in all that is in reach, ``open`` if
     it is to be extended: others begin alike but differ, and it is not ``same`` or speaks for those that are.
 
-    Up to ``HOT`` suffixes with the same first words are sorted and compared in
-    one task; of more, which could fill a task, those that agree in everything
-    are aggregated before they are shuffled.
+    ``again``: ``(first, times)`` of first words in several texts. Up to ``HOT``
+    suffixes with the same first words are sorted and compared in one task. More,
+    which could fill a task, are never gathered: they are told apart before
+    any shuffle, and those that agree in everything are aggregated before theirs.
     """
     who = F.xxhash64("k", "at")
     measures = {"k0": F.min("k"), "k1": F.max("k"), "least": F.min("doc_id"), "most": F.max("doc_id"), "speaker": F.min(who)}
-    usual, hot = suffixes.where(F.col("times") <= HOT), suffixes.where(F.col("times") > HOT)
+    many = small(again.where(F.col("times") > HOT).select("first"))
+    usual = suffixes.join(many, "first", "left_anti").join(again.where(F.col("times") <= HOT).select("first"), "first")
     near, group = Window.partitionBy("first", "around"), Window.partitionBy("first")
     usual = usual.withColumns({n: c.over(near) for n, c in measures.items()} | {"several": F.min("around").over(group) != F.max("around").over(group)})
+    hot = suffixes.join(many, "first", "left_semi")
     classes = hot.groupBy("first", "around").agg(*(c.alias(n) for n, c in measures.items()))
-    several = hot.groupBy("first").agg((F.min("around") != F.max("around")).alias("several"))
-    hot = hot.join(classes, ["first", "around"]).join(several, "first")
+    several = classes.groupBy("first").agg((F.min("around") != F.max("around")).alias("several"))
+    hot = hot.join(classes.join(several, "first"), ["first", "around"])
     both = usual.unionByName(hot).withColumn("same", F.col("k0") != F.col("k1"))
     opened = F.col("several") & (~F.col("same") | (who == F.col("speaker")))
-    return both.select("doc_id", "k", "n", "at", "same", opened.alias("open"), "least", "most")
+    return both.select("doc_id", "k", "n", "at", "same", opened.alias("open"), "least", "most").where("same or open")
 
 
 def _stretches(settled: DataFrame, extended: DataFrame, kind: str) -> DataFrame:
