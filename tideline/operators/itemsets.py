@@ -54,29 +54,27 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
         times = by_transaction(occ).select(F.array("item").alias("pattern"), "t")
         shown = cut(within(times, window, theta, times.groupBy("pattern").agg(F.min("t").alias("s"), F.max("t").alias("e")), convention=convention))
     found = [shown.select("pattern", F.lit(1).alias("size"), "s", "e")]
-    level = cut(shown.select("pattern").distinct())
+    level = shown.select("pattern").distinct()
     items = level.select(F.col("pattern")[0].alias("item"))
     base = cut(occ.join(small(items), "item", "left_semi").select("basket_id", "t", "item"))
     held = base.select("basket_id", "t", F.array("item").alias("pattern"))
-    ranges = first
+    ranges, dense = first, shown
     single_ranges = first.select(F.col("pattern")[0].alias("__item"), "s", "e")
     size = 2
-    while size <= max_length and not level.isEmpty():
-        made = cut(prune(candidates(level), level) if size > 2 else candidates(level))
-        if made.isEmpty():
-            break
+    while size <= max_length and not dense.isEmpty():
+        made = prune(candidates(level), level) if size > 2 else candidates(level)
         # common ranges of all items: those of the head and those of the last item
         parts = made.select("pattern", F.slice("pattern", 1, size - 1).alias("head"), F.element_at("pattern", -1).alias("__item"))
         from_head = parts.join(ranges.withColumnRenamed("pattern", "head"), "head").select("pattern", "__item", "s", "e")
         ranges = cut(overlap(from_head, single_ranges, "__item").select("pattern", "s", "e").distinct())
         allowed = at_least(ranges, window)
-        wanted = small(cut(allowed.select("pattern").distinct()))
+        wanted = small(allowed.select("pattern").distinct())
         pairs = held.join(base.withColumnsRenamed({"t": "__t"}), "basket_id").where(F.element_at("pattern", -1) < F.col("item"))
-        held = pairs.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")).join(wanted, "pattern", "left_semi")
-        held = cut(held)
+        held = cut(pairs.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")).join(wanted, "pattern", "left_semi"))
         dense = cut(within(held.select("pattern", "t"), window, theta, allowed, convention=convention))
-        level = cut(dense.select("pattern").distinct())
-        held = held.join(small(level), "pattern", "left_semi")
+        level = dense.select("pattern").distinct()
+        if size < max_length:
+            held = held.join(small(level), "pattern", "left_semi")
         found.append(dense.select("pattern", F.lit(size).alias("size"), "s", "e"))
         size += 1
     return reduce(DataFrame.unionByName, found)
