@@ -34,8 +34,8 @@ from tideline.operators.postings import small
 
 LONG, SPREAD, GRAM = 50, 40, 5
 REACH = LONG - SPREAD + 1
-#: Suffixes with the same first words that one task compares, about 5 MB.
-HOT = 50_000
+#: Suffixes with the same first words that one task compares, about 200 KB.
+HOT = 2_000
 #: Texts, and places in them, that are sent to all executors at most for extension (about 64 MB); more are joined by a shuffle.
 SEND_TEXTS, SEND_PLACES = 300_000, 8_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,12 +137,13 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
+            made: list[tuple[np.ndarray, ...]] = []
             for i, value in enumerate(batch["text"].to_pylist()):
                 hashes = word_hashes(value, memo)
-                (at, first, around), n = kept_suffixes(hashes), len(hashes)
-                if len(at):
-                    take = pa.array(np.full(len(at), i))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), pa.array(at.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(around.view(np.int64)), pa.array(np.full(len(at), n, np.int32))], ["doc_id", "k", "at", "first", "around", "n"])
+                at, first, around = kept_suffixes(hashes)
+                made.append((np.full(len(at), i), at.astype(np.int32), first.view(np.int64), around.view(np.int64), np.full(len(at), len(hashes), np.int32)))
+            if made:
+                yield _rows(batch, made, ["at", "first", "around", "n"])
 
     suffixes = store(rows.mapInArrow(keep, f"doc_id {kind}, k long, at int, first long, around long, n int"))
     # most first words are like no others, and drop out here
@@ -158,6 +159,7 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
+            made: list[tuple[np.ndarray, ...]] = []
             for i, (value, shared, places) in enumerate(zip(*(batch[c].to_pylist() for c in ("text", "shared", "open")))):
                 hashes = word_hashes(value, memo)
                 passages = run_hashes(hashes, LONG)
@@ -170,9 +172,9 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
                 for k in range(LONG - GRAM - SPREAD + 2):
                     at = least[begin + k]
                     begin = begin[(at + REACH > begin + LONG) | kept[at]]
-                if len(begin):
-                    take = pa.array(np.full(len(begin), i))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), pa.array(begin.astype(np.int32)), pa.array(passages[begin].view(np.int64)), pa.array(np.full(len(begin), len(hashes), np.int32))], ["doc_id", "k", "begin", "passage", "n"])
+                made.append((np.full(len(begin), i), begin.astype(np.int32), passages[begin].view(np.int64), np.full(len(begin), len(hashes), np.int32)))
+            if made:
+                yield _rows(batch, made, ["begin", "passage", "n"])
 
     passages = store(texts.mapInArrow(extend, f"doc_id {kind}, k long, begin int, passage long, n int"))
     equal = passages.groupBy("passage").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("k0 <> k1")
@@ -181,6 +183,13 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
     return _stretches(settled, joined, kind)
 
 
+def _rows(batch: pa.RecordBatch, made: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    """The rows that a batch of texts gave: first their places in the batch, then the columns ``names``."""
+    place, *columns = (np.concatenate(c) for c in zip(*made))
+    take = pa.array(place)
+    return pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), *map(pa.array, columns)], ["doc_id", "k", *names])
+
+
 def _compared(suffixes: DataFrame, again: DataFrame) -> DataFrame:
     """Neighbours compared: ``same`` if a suffix agrees with one of another text in all that is in reach, ``open`` if
     it is to be extended: others begin alike but differ, and it is not ``same`` or speaks for those that are.
