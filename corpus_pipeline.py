@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints (five words) within three bits."""
-    return simhash.keep_one(docs)
+    """One document of each component linked by five-word shingles: Jaccard similarity of 0.8 or more, or fingerprints within three bits."""
+    return simhash.keep_one(docs, similar=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

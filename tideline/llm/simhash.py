@@ -21,17 +21,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
+from tideline.llm import shingles
 from tideline.llm.text import row_key, small_batches, whole
 from tideline.operators.graph import connected_components
 
 RADIUS, BITS = 3, 64
 #: Points of a bucket that are compared directly: at most 64 KB, and 32 million comparisons of a few nanoseconds.
 DENSE = 8192
+#: Keys of texts to read again that are broadcast.
+ASKED = 200_000
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -46,11 +48,13 @@ def _signed(x: int) -> int:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """The SimHash of a text: XXH64 (seed 42) of its word shingles, repeats included."""
-    words = text.lower().split()  # bytes: white space is the six ASCII characters, and A-Z alone are lowered
-    if not words:
+    return point_of(shingles.hashes(text, width))
+
+
+def point_of(hashes: np.ndarray) -> int:
+    """The SimHash of hashes of shingles; 0 if there are none."""
+    if not len(hashes):
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles), np.uint64)
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -155,26 +159,80 @@ def components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", wi
     return own.join(names, "point").select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", width: int = 5, dense: int = DENSE) -> DataFrame:
+def keep_one(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", width: int = 5, dense: int = DENSE, similar: bool = False) -> DataFrame:
     """One document of each component, with its columns: the one with the smallest ``doc_id`` (null last), then by content.
 
-    Of repeated rows one stays. The texts are shuffled once, to meet the keys of the rows that stay.
+    Documents are linked if their fingerprints are within three bits, with
+    ``similar`` also if their sets of shingles have a Jaccard similarity of four
+    fifths or more. Of repeated rows one stays. The texts are shuffled once, to
+    meet the keys of the rows that stay.
     """
     keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.select("row", "doc_id", "text", *row_key(keyed, "doc_id", "text"))
     small_batches(docs.sparkSession)
+    if not similar:
+        stay = _by_fingerprints(keyed, docs.schema[ident].dataType.simpleString(), width, dense)
+    else:
+        stay = _by_sets(keyed, docs.schema[ident].dataType.simpleString(), width, dense)
+    kept = keyed.select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _by_fingerprints(keyed: DataFrame, kind: str, width: int, dense: int) -> DataFrame:
+    """``k1, k2`` of the first row of each component of fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = np.array([fingerprint(x, width) for x in batch["text"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "k1", "k2")), pa.array(points)], ["doc_id", "k1", "k2", "point"])
 
-    kind = docs.schema[ident].dataType.simpleString()
     own = keyed.select("doc_id", "k1", "k2", whole("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, point long")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     points = cut(own.groupBy("point").agg(F.min(first).alias("first")))
     reached = connected_components(links(points.select("point"), dense=dense))
     group = points.join(reached, points["point"] == reached["node"], "left").select("first", F.coalesce("component", "point").alias("component"))
-    stay = group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
-    kept = keyed.select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+
+
+def _by_sets(keyed: DataFrame, kind: str, width: int, dense: int) -> DataFrame:
+    """``k1, k2`` of the first row of each component of fingerprints and similar sets of shingles."""
+    frequent = keyed.sparkSession.sparkContext.broadcast(shingles.frequent_shingles(keyed, "text", width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [shingles.hashes(x, width) for x in batch["text"].to_pylist()]
+            points = np.array([point_of(x) for x in drawn], np.uint64).view(np.int64)
+            sets = [np.unique(x) for x in drawn]
+            own = [
+                pa.array(points), pa.array([shingles.node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
+                pa.array([shingles.prefix(x, frequent.value).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                pa.array([shingles.bitmap(x) for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "k1", "k2")), *own], ["doc_id", "k1", "k2", "point", "node", "size", "prefix", "bitmap"])
+
+    shape = f"doc_id {kind}, k1 long, k2 long, point long, node long, size int, prefix array<long>, bitmap binary"
+    own = store(keyed.select("doc_id", "k1", "k2", whole("text").cast("binary").alias("text")).mapInArrow(run, shape))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    nodes = cut(own.groupBy("node").agg(F.min(first).alias("first"), F.min(F.struct("k1", "k2")).alias("of")))
+    sets = store(own.select("node", "size", "prefix", "bitmap").dropDuplicates(["node"]))
+
+    def members(asked: DataFrame) -> DataFrame:
+        """The sets of the nodes asked for, made again from one text each."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch["node"], pa.array([np.unique(shingles.hashes(x, width)).tobytes() for x in batch["text"].to_pylist()], pa.binary())], ["node", "members"])
+
+        keys = cut(nodes.join(asked, "node", "left_semi").select("node", "of.k1", "of.k2"))
+        keys = F.broadcast(keys) if keys.count() <= ASKED else keys
+        texts = keyed.join(keys, ["k1", "k2"]).select("node", whole("text").cast("binary").alias("text"))
+        return texts.mapInArrow(read, "node long, members binary").dropDuplicates(["node"])
+
+    points = own.groupBy("point").agg(F.min("node").alias("least"))
+    names = points.select("point", "least")
+    near = links(points.select("point"), dense=dense)
+    near = near.join(names.select(F.col("point").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("point").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = own.join(names, "point").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    reached = connected_components(near.unionByName(same).unionByName(shingles.similar_pairs(sets, members)))
+    group = nodes.join(reached, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    return group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
