@@ -70,6 +70,19 @@ def test_mixing(spark):
     assert mixing.mix(frame.limit(0)).count() == 0 and mixing.training_order(docs(spark, ODD)).count() > 0
 
 
+def test_mixing_sources_without_words(spark):
+    rows = [(1, "a b c", "en", "x"), (2, "", "en", "y"), (3, None, "en", "y"), (None, None, "en", "x")]
+    got = {r.doc_id: r for r in mixing.mix(docs(spark, rows)).collect()}
+    assert (got[2].target, got[2].taken, got[3].source_size, got[1].target, got[1].taken, got[None].size) == (0.0, 0, 0, 4.5, 5, 0)
+    for rows in ([(1, "")], [(1, None), (None, None)]):
+        assert [(r.target, r.taken, r.placements) for r in mixing.mix(docs(spark, rows)).collect()] == [(0.0, 0, [])] * len(rows)
+        assert mixing.training_order(docs(spark, rows)).count() == 0
+    (one,) = mixing.mix(docs(spark, [(1, "word")])).collect()
+    assert (one.size, one.target, one.taken) == (1, 1.5, 2)
+    same = mixing.mix(docs(spark, [(None, f"null id {k}") for k in range(400)]))
+    assert same.count() == 400 and same.agg({"taken": "sum"}).first()[0] == 1800
+
+
 def test_mixing_schedule(spark):
     knots = [(0.0, 1.0), (0.25, 3.0), (1.0, 0.5)]
     share = [k / 50 for k in range(51)]
@@ -331,6 +344,49 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame.limit(0), benchmark).count() == 0 and decontaminate.leaks(frame, benchmark.limit(0)).count() == 0
 
 
+def leaks_by_definition(item, text):
+    """Whether eleven equal words stand in order with two edits at most, or the whole item with a fifth of its words edited."""
+    n, m = len(item), len(text)
+    most = [[[0] * (m + 1) for _ in range(n + 1)] for _ in range(3)]
+    edits = [[0] * (m + 1)] + [[i] + [0] * m for i in range(1, n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            same = item[i - 1] == text[j - 1]
+            edits[i][j] = min(edits[i - 1][j - 1] + (not same), edits[i - 1][j] + 1, edits[i][j - 1] + 1)
+            for e in range(3):
+                most[e][i][j] = max(most[e][i - 1][j - 1] + 1 if same else 0, *((most[e - 1][i - 1][j - 1], most[e - 1][i - 1][j], most[e - 1][i][j - 1]) if e else (0,)))
+    span = n >= 13 and max(map(max, most[2])) >= 11
+    return span or min(edits[n]) <= (n // 5 if n > 6 else n == 6)
+
+
+def test_leaks_by_definition(spark):
+    draw = random.Random(19)
+    items = [(k, prose(draw, draw.randint(7, 40), 500)) for k in range(40)]
+    rows = []
+    for k in range(300):
+        words = list(draw.choice(items)[1].split())
+        if draw.random() < 0.4:
+            at = draw.randrange(len(words))
+            words = words[at : at + draw.randint(11, 16)]
+        for _ in range(draw.randint(0, 2 + len(words) // 4)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.randint(0, 1)] = [f"new{draw.randrange(99)}"] * draw.randint(0, 1)
+        rows.append((k, f"{prose(draw, 20, 500)} {' '.join(words)} {prose(draw, 20, 500)}"))
+    whole = prose(draw, 60, 9000).split()
+    sparse = [w if k % 4 else "other" for k, w in enumerate(whole)]
+    items.append((90, " ".join(whole)))
+    rows += [(900, " ".join([*whole[:13], *prose(draw, 10, 9000).split(), *sparse])), (901, " ".join([*sparse[20:], *whole[:13]])), (902, " ".join(sparse[20:]))]
+    expected = {(i, j) for i, t in rows for j, x in items if leaks_by_definition(x.split(), t.split())}
+    got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and {(900, 90), (901, 90)} <= expected and 100 < len(expected) < 300
+
+
+def test_short_items_are_found_as_they_stand(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "two plus"), (3, "one two three four five"), (4, "?!")], "item_id long, text string")
+    rows = [(1, "in paris now"), (2, "two and plus"), (3, "two plus two"), (4, "so one two three four five"), (5, "one two three and five"), (6, "Paris"), (7, "two")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), items).collect()} == {(1, 1), (3, 2), (4, 3), (6, 1)}
+
+
 def test_alignment_against_the_plain_recurrence():
     draw = random.Random(10)
     for _ in range(60):
@@ -339,7 +395,7 @@ def test_alignment_against_the_plain_recurrence():
         for i, x in enumerate(a, 1):
             for j, y in enumerate(b, 1):
                 h[i][j] = max(0, h[i - 1][j - 1] + (1 if x == y and x else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
-        score, equal, columns, *_ = decontaminate.align(np.array(a), np.where(np.array(b) == 0, -1, np.array(b)), 5)
+        score, equal, columns, *_ = decontaminate.align(np.array(a), np.where(np.array(b) == 0, -1, np.array(b)))
         assert score == max(map(max, h)) and equal - (columns - equal) == score
 
 

@@ -33,7 +33,7 @@ OP1_SQL = f"""
 with d as (
   select doc_id, case when source is null then '1' else '0' || source end as k,
     coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
-    md5(coalesce(doc_id::varchar, '') || '|1') as digest
+    md5(coalesce(doc_id::varchar, '') || '|1|' || md5(coalesce(text, ''))) as digest
   from documents
 ), s as (select k, sum(size)::bigint as source_size from d group by k),
 r as (select *, (row_number() over (order by k) - 1) % 3 as kind from s),

@@ -5,10 +5,11 @@ source's weight schedule is integrated in closed form, and inverting cumulative
 demand gives every copy of a document its training position in [0, 1]. Built
 from DataFrame operations only.
 
-The order within a source is that of a keyed digest of ``doc_id``. The running
-sum over a source goes down three levels of digest buckets (256 x 256 per
-source), so that no task ever holds a source: a source with a third of all rows
-is spread over 65,536 buckets.
+The order within a source is that of a keyed digest of ``doc_id`` and text. The
+running sum over a source goes down three levels of digest buckets (256 x 256
+per source), so that no task ever holds a source: a source with a third of all
+rows is spread over 65,536 buckets, also where all its ids are null. Documents
+without words take no part in the order and are dealt to buckets by row number.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tideline.durable import cut
 from tideline.llm.text import count_words, whole
+from tideline.operators.postings import small
 
 #: Knots (time, relative weight) of the schedule of the sources that weigh 5, 2 and 1.
 SCHEDULES = ([(0.0, 1.5), (1.0, 0.5)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5)])
@@ -85,35 +87,40 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", ident: s
 
     Null text: size 0. Null source: a source of its own, after all others. A
     null ``doc_id`` has a digest like any other. Repeated rows each take their
-    own stretch. A document without words takes nothing. Empty table: no rows.
+    own stretch. A document without words takes nothing, and a source without
+    words has target 0. Empty table: no rows.
     Extra columns are ignored or, with ``carry``, kept inside ``row``.
     """
     rounds = int(-(-most // 1))
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(ident).cast("string"), F.lit("")), F.lit(str(seed))))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(ident).cast("string"), F.lit("")), F.lit(str(seed)), F.md5(whole(text))))
     base = docs.select(
         *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else []),
         F.col(ident).alias("doc_id"),
         F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source))).alias("source_key"),
         count_words(whole(text)).alias("size"), digest.alias("digest"), F.xxhash64(text).alias("tie"),
-    ).withColumns({"b1": F.substring("digest", 1, 2), "b2": F.substring("digest", 3, 2)})
+    )
+    row = F.monotonically_increasing_id()
+    dealt = lambda at, shift: F.when(F.col("size") > 0, F.substring("digest", at, 2)).otherwise(F.lpad(F.hex(F.pmod(F.shiftright(row, shift), F.lit(256))), 2, "0"))
+    base = base.withColumns({"b1": dealt(1, 0), "b2": dealt(3, 8)})
     if not carry:
         base = cut(base)
     fine = cut(base.groupBy("source_key", "b1", "b2").agg(F.sum("size").alias("n")))
     coarse = fine.groupBy("source_key", "b1").agg(F.sum("n").alias("n"))
-    sources = source_targets(coarse.groupBy("source_key").agg(F.sum("n").alias("source_size")), weights, share, most)
+    sources = cut(source_targets(coarse.groupBy("source_key").agg(F.sum("n").alias("source_size")), weights, share, most))
     before = lambda keys, by: F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    coarse = coarse.withColumn("c", before(["source_key"], "b1")).join(sources, "source_key").drop("n")
+    coarse = coarse.withColumn("c", before(["source_key"], "b1")).drop("n")
     fine = fine.withColumn("f", before(["source_key", "b1"], "b2")).join(coarse, ["source_key", "b1"]).withColumn("ahead", F.col("c") + F.col("f")).drop("n", "c", "f")
     order = Window.partitionBy("source_key", "b1", "b2").orderBy("digest", "tie", "size")
     placed = base.withColumn("begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    placed = placed.join(fine, ["source_key", "b1", "b2"]).withColumn("begin", F.col("begin") + F.col("ahead"))
+    # rows without words may lie in another bucket when they are read again, and need no place
+    placed = placed.join(fine, ["source_key", "b1", "b2"], "left").join(small(sources), "source_key").withColumn("begin", F.col("begin") + F.coalesce("ahead", F.lit(0)))
     copies = []
     for k in range(rounds):
         start = F.col("begin") + F.lit(k) * F.col("source_size")
         words = F.least(F.greatest(F.round("target").cast("long") - start, F.lit(0)), F.col("size"))
         if whole_rows:
             words = F.when(2 * words >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-        part = start / F.col("target")
+        part = F.try_divide(start, F.col("target"))
         at = None
         for kind, knots in enumerate(schedules):
             at = _time(part, knots) if at is None else F.when(F.col("kind") % len(schedules) == kind, _time(part, knots)).otherwise(at)

@@ -42,6 +42,7 @@ BASE = (
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
@@ -49,7 +50,7 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("pypi", r"pypi-[A-Za-z0-9_-]{50,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]{1,64}:[^\x20\x09-\x0D:/@]{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"),
 )
 
 #: Greatest number of literal strings that an expression may stand for before it is cut into parts.
