@@ -1,6 +1,7 @@
 """Each operator against brute force, and with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -248,26 +249,45 @@ def test_binary_round_trip(spark, tmp_path):
     path = tokenizer("byte_bpe_50k.tiktoken")
     draw = random.Random(7)
     rows = [(k, prose(draw, draw.randint(0, 120))) for k in range(100, 160)] + ODD
-    frame = docs(spark, rows)
-    made = binary.training_shards(frame, path, length=32, per_shard=16).cache()
-    got = made.collect()
-    assert sorted(r.slot for r in got) == list(range(len(got))) and [r.slot for r in got] != [r.slot for r in sorted(got, key=lambda r: (str(r.doc_id), r.seq))]
     encode = binary._encoding(path).encode_ordinary
     expected = Counter((i, tuple([*encode(t or ""), 50_256])) for i, t in rows)
-    by, out = {}, Counter()
-    for r in got:
-        assert r.byte_offset == r.slot % 16 * 64 and r.shard == r.slot // 16 and len(r.tokens) == 64
-        by.setdefault((r.doc_id, r.seq), []).append(np.frombuffer(bytes(r.tokens), "<u2")[: r.n_tokens])
-    for i, t in set(rows):
-        times = rows.count((i, t))
-        ids = np.concatenate([by[i, s][0] for s in range(sum(1 for a, _ in by if a == i))])
-        out[i, tuple(ids.tolist())] += times
-    assert out == expected
-    manifest = binary.write_shards(made, f"file://{tmp_path}/shards").collect()
-    body = b"".join(open(m.path, "rb").read() for m in sorted(manifest, key=lambda m: m.shard))
-    assert body == b"".join(bytes(r.tokens) for r in sorted(got, key=lambda r: r.slot))
-    assert all(hashlib.sha256(open(m.path, "rb").read()).hexdigest() == m.sha256 for m in manifest)
-    assert binary.training_shards(frame.limit(0), path).count() == 0
+    docs(spark, rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    streams = []
+    for number, (given, phases) in enumerate(((frame, 1), (docs(spark, rows), 1), (frame, 4), (docs(spark, rows).repartition(5), 1))):
+        uri = f"file:{tmp_path}/shards{number}"
+        got = sorted(binary.training_shards(given, path, uri=uri, length=32, per_shard=16, phases=phases).collect(), key=lambda r: r.slot)
+        n = len(got)
+        assert [r.slot for r in got] == list(range(n))
+        index = binary.slots(np.arange(n), n, phases=phases, inverse=True)
+        assert sorted(r.n_tokens for r in got)[1] == 32 and index.tolist() != list(range(n)) and sorted(index.tolist()) == list(range(n))
+        assert phases == 1 or (index * phases // n == np.arange(n) * phases // n).mean() > 0.9
+        stream, found = [], Counter()
+        for k in np.argsort(index):  # back in the order of documents
+            r = got[k]
+            ids = np.frombuffer(bytes(r.tokens), "<u2")
+            assert len(ids) == 32 and (r.shard, r.byte_offset) == (r.slot // 16, r.slot % 16 * 64) and len(r.doc_ids) == len(r.begins) and r.begins[0] == 0
+            for who, a, b in zip(r.doc_ids, r.begins, [*r.begins[1:], r.n_tokens]):
+                if not stream or stream[-1][1][-1] == 50_256:
+                    stream.append((who, []))
+                assert stream[-1][0] == who
+                stream[-1][1].extend(ids[a:b].tolist())
+        found = Counter((who, tuple(ids)) for who, ids in stream)
+        assert found == expected
+        streams.append([(r.doc_ids, bytes(r.tokens)) for r in got])
+        # what stops can go on from any slot
+        for first in (0, 1, 15, 16, n - 1, n):
+            assert [(s, x.tobytes()) for s, x in binary.read_slots(uri, first, length=32, per_shard=16)] == [(r.slot, bytes(r.tokens)) for r in got[first:]]
+        assert not [x for x in os.listdir(tmp_path / f"shards{number}") if x.startswith(".shard") and not x.endswith(".crc")]
+    assert streams[1] == streams[3] != streams[0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:  # the same files in other splits: the same slots
+        again = binary.training_shards(frame, path, length=32, per_shard=16).orderBy("slot").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.doc_ids, bytes(r.tokens)) for r in again] == streams[0] and again[0].path is None
+    assert {(r.first_slot, r.n_sequences) for r in binary.manifest(spark.createDataFrame([(r.shard, r.path, r.slot) for r in again[:40]], "shard long, path string, slot long")).collect()} == {(0, 16), (16, 16), (32, 8)}
+    assert binary.training_shards(docs(spark, rows).limit(0), path).count() == 0
 
 
 def test_licences(spark):

@@ -65,13 +65,20 @@ def test_op5(spark, texts):
 
 
 def test_op6(spark, texts):
-    rows = catalog.op6_binary_output(spark, FOLDER).collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    rows = sorted(catalog.op6_binary_output(spark, FOLDER).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(len(rows)))
     encode = binary._encoding(catalog.tokenizer("byte_bpe_50k.tiktoken")).encode_ordinary
     found = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.seq)):
-        found.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.tokens), "<u2")[: r.n_tokens].tolist())
+    for k in np.argsort(binary.slots(np.arange(len(rows)), len(rows), inverse=True)):
+        r = rows[k]
+        for who, a, b in zip(r.doc_ids, r.begins, [*r.begins[1:], r.n_tokens]):
+            found.setdefault(who, []).extend(np.frombuffer(bytes(r.tokens), "<u2")[a:b].tolist())
     assert found == {i: [*encode(t), 50_256] for i, t in texts.items()}
+    stride = 2 * binary.LENGTH
+    for r in rows[:: max(1, len(rows) // 20)]:
+        with open(r.path, "rb") as file:
+            file.seek(r.byte_offset)
+            assert file.read(stride) == bytes(r.tokens)
 
 
 def test_op8(spark, texts):

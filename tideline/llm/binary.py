@@ -1,38 +1,44 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
-Documents become sequences of ``length`` token ids with an end mark after each
-document; the last sequence of a document is filled up with end marks. The
-sequences are numbered 0 to N - 1, and a keyed Feistel permutation with
-cycle-walking gives each its slot in training order: a one-to-one map that
-needs no sort and no table. Slots divide into shards of ``per_shard`` sequences;
-a range partitioning by shard brings each shard into one task, in slot order.
-Since every sequence has the same stride, slot s lies at byte
-(s mod per_shard) * stride of shard s div per_shard, and reading can go on from
-any slot.
+Documents are laid end to end in the order in which they stand in their files,
+each followed by an end mark, and the stream of token ids is cut into sequences
+of ``length``; only the last one is filled up with end marks. Every task encodes
+its stretch of the input once; the sizes of the stretches before it, one number
+per stretch, tell where in the stream it begins. So the sequences, numbered 0 to
+N - 1, don't depend on how the input is split among tasks.
+
+A keyed Feistel permutation with cycle-walking gives each sequence its slot in
+training order: a one-to-one map that needs no sort and no table. With ``phases``
+the sequences are divided into that many equal stretches, each permuted in
+itself: the order of the input, a curriculum, holds from phase to phase.
+
+Slots divide into shards of ``per_shard`` sequences; each task takes a range of
+shards, in slot order, and writes them. Since every sequence has the same stride,
+slot s lies at byte (s mod per_shard) * stride of shard s div per_shard, and
+reading can go on from any slot (:func:`read_slots`).
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import contextlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from tideline.durable import cut
-from tideline.llm.text import small_batches, whole
+from tideline.durable import cut, store
+from tideline.llm.text import row_key, small_batches, whole
 
 LENGTH, PER_SHARD, KEY = 1024, 1024, 0x5DEECE66D
-#: Number of token bases (16 bytes per input partition) that go to all executors at most.
-SEND_PARTITIONS = 1_000_000
+#: Number of stretches (about 100 bytes each) whose places go to all executors at most; more are joined by a shuffle.
+SEND_STRETCHES = 500_000
 ROUNDS = 6
 
 
@@ -85,10 +91,35 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_sequences(docs: DataFrame, ranks_path: str, *, text: str = "text", ident: str = "doc_id", length: int = LENGTH, end: int = 50_256) -> DataFrame:
-    """``part, ord, doc_id, seq, n_tokens, tokens``: the sequences, numbered in each input partition.
+def slots(index: np.ndarray, n: int, key: int = KEY, phases: int = 1, inverse: bool = False) -> np.ndarray:
+    """The slots of sequences, or with ``inverse`` the sequences of slots: a permutation within each of ``phases`` stretches of 0 to n - 1."""
+    index = np.asarray(index, np.int64)
+    phases = max(1, min(phases, n))
+    edges = np.array([n * p // phases for p in range(phases + 1)], np.int64)
+    at, out = np.searchsorted(edges, index, "right") - 1, np.empty(len(index), np.int64)
+    for p in np.unique(at):
+        own = at == p
+        out[own] = edges[p] + permute(index[own] - edges[p], int(edges[p + 1] - edges[p]), key + int(p), inverse)
+    return out
 
-    ``tokens`` holds ``length`` ids of 16 bits, little-endian; ``n_tokens`` of them are the document's, its end mark included.
+
+def _placed(docs: DataFrame, text: str, ident: str) -> DataFrame:
+    """``file, row, doc_id, text``: the documents with their places in their files.
+
+    A frame that isn't read from files straight away is first written in the order of a hash of id and text.
+    """
+    own = lambda x: x.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(ident).alias("doc_id"), whole(text).alias("text"))
+    if "_metadata" in docs._jdf.queryExecution().analyzed().metadataOutput().toString():
+        with contextlib.suppress(AnalysisException):  # files whose rows have no numbers
+            return own(docs)
+    keyed = docs.select(F.col(ident), F.col(text)).withColumns(dict(zip(("__k1", "__k2"), row_key(docs, ident, text))))
+    return own(store(keyed.repartitionByRange("__k1", "__k2").sortWithinPartitions("__k1", "__k2")))
+
+
+def token_stretches(docs: DataFrame, ranks_path: str, *, text: str = "text", ident: str = "doc_id", end: int = 50_256) -> DataFrame:
+    """``file, first, at, doc_id, n, tokens``: each document's ids of 16 bits, little-endian, its end mark included.
+
+    ``file, first`` name the stretch by its first row; ``at`` counts the tokens before the document in it.
     """
     if end >= 1 << 16:
         raise ValueError("ids of 16 bits can't hold the end mark")
@@ -96,103 +127,182 @@ def token_sequences(docs: DataFrame, ranks_path: str, *, text: str = "text", ide
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = _encoding(ranks_path).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, file, first, last, at = _encoding(ranks_path).encode_ordinary, None, 0, -1, 0
         for batch in batches:
-            made: list[np.ndarray] = []
-            owner: list[np.ndarray] = []
-            held = 0
-
-            def out() -> pa.RecordBatch:
-                own, tokens = np.concatenate(owner, axis=1), np.concatenate(made)
-                rows = own.shape[1]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(at, at + rows)), batch["doc_id"].take(pa.array(own[0])), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int32)), pa.Array.from_buffers(pa.binary(2 * length), rows, [None, pa.py_buffer(tokens)]).cast(pa.binary())],
-                    ["part", "ord", "doc_id", "seq", "n_tokens", "tokens"],
-                )
-
-            for i, value in enumerate(batch["text"].to_pylist()):
+            files, firsts, ats, sizes, made = [], [], [], [], []
+            for name, row, value in zip(*(batch[c].to_pylist() for c in ("file", "row", "text"))):
+                if name != file or row <= last:
+                    file, first, at = name, row, 0
+                last = row
                 ids = array("H", encode(value))
                 ids.append(end)
-                rows = -(-len(ids) // length)
-                full = np.full(rows * length, end, "<u2")
-                full[: len(ids)] = np.frombuffer(ids, np.uint16)
-                made.append(full)
-                owner.append(np.stack([np.full(rows, i), np.arange(rows), np.minimum(len(ids) - np.arange(rows) * length, length)]))
-                held += rows
-                if held >= 4096:
-                    yield out()
-                    at, made, owner, held = at + held, [], [], 0
-            if held:
-                yield out()
-                at += held
-
-    rows = docs.select(F.col(ident).alias("doc_id"), whole(text).alias("text"))
-    return rows.mapInArrow(run, f"part int, ord long, doc_id {kind}, seq int, n_tokens int, tokens binary")
-
-
-def training_shards(docs: DataFrame, ranks_path: str, *, text: str = "text", ident: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = 50_256) -> DataFrame:
-    """All sequences with their slots: ``slot, shard, byte_offset, doc_id, seq, n_tokens, tokens``, range-partitioned by shard and sorted by slot.
-
-    The numbers follow the order in which the input is read; the token table is
-    checkpointed, so they hold from then on, whatever task is lost. The same
-    files read with the same split sizes give the same slots.
-
-    Null and empty texts: one sequence with the end mark alone. Repeated rows
-    each have their sequences. Empty table: no rows. Extra columns are ignored.
-    A very long text is cut into as many sequences as it needs.
-    """
-    made = cut(token_sequences(docs, ranks_path, text=text, ident=ident, length=length, end=end))
-    parts = made.groupBy("part").agg(F.count("*").alias("n"))
-    # one row per input partition
-    bases = cut(parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("base"), "n"))
-    n, tasks = bases.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bases = bases.drop("n")
-
-    @pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), n, key))
-
-    placed = made.join(F.broadcast(bases) if tasks <= SEND_PARTITIONS else bases, "part").withColumn("slot", slot(F.col("base") + F.col("ord")))
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
-    shards = max(1, -(-n // per_shard))
-    tasks = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = placed.repartitionByRange(max(tasks, -(-shards // 64)), "shard").sortWithinPartitions("slot")
-    return ordered.select("slot", "shard", ((F.col("slot") % per_shard) * (2 * length)).alias("byte_offset"), "doc_id", "seq", "n_tokens", "tokens")
+                files.append(file)
+                firsts.append(first)
+                ats.append(at)
+                sizes.append(len(ids))
+                made.append(ids.tobytes())
+                at += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(firsts, pa.int64()), pa.array(ats, pa.int64()), batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["file", "first", "at", "doc_id", "n", "tokens"])
 
+    return _placed(docs, text, ident).mapInArrow(run, f"file string, first long, at long, doc_id {kind}, n long, tokens binary")
 
-def write_shards(sequences: DataFrame, uri: str) -> DataFrame:
-    """Write the shards of :func:`training_shards` under ``uri``, a folder that all executors reach; returns the manifest.
 
-    The manifest has ``shard, path, first_slot, n_sequences, sha256``. A shard
-    is written under a name of its own attempt and then moved to its name, so a
-    task that runs twice leaves one whole file.
-    """
+def training_shards(docs: DataFrame, ranks_path: str, *, uri: str | None = None, text: str = "text", ident: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, phases: int = 1, end: int = 50_256) -> DataFrame:
+    """All sequences with their slots: ``slot, shard, path, byte_offset, doc_ids, begins, n_tokens, tokens``, in ranges of shards and sorted by slot.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    ``doc_ids``: the documents with tokens in the sequence, in order, each with
+    the place where its tokens begin (``begins``). ``n_tokens`` is ``length``
+    for all but the last sequence of the stream. With ``uri``, a folder that all
+    executors reach, the shards are written there as the rows are computed.
 
-        store, folder = fs.FileSystem.from_uri(uri)
-        store.create_dir(folder, recursive=True)
-        context = TaskContext.get()
-        at, out, name, first, count, digest = None, None, "", 0, 0, None
+    The order of documents is that of the files by name, and of rows within
+    them; the token table is written first, so it holds whatever task is lost.
 
-        def close() -> pa.RecordBatch:
-            out.close()
-            store.move(name, f"{folder}/shard-{at:08d}.bin")
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([f"{folder}/shard-{at:08d}.bin"]), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([digest.hexdigest()])], ["shard", "path", "first_slot", "n_sequences", "sha256"])
+    Null and empty texts: the end mark alone. Repeated rows each have their
+    tokens. Null ``doc_id`` stays null. Empty table: no rows. Extra columns are
+    ignored. A very long text is cut into as many sequences as it needs.
+    """
+    spark, kind = docs.sparkSession, docs.schema[ident].dataType.simpleString()
+    made = store(token_stretches(docs, ranks_path, text=text, ident=ident, end=end))
+    sizes = made.groupBy("file", "first").agg(F.sum("n").alias("size"))
+    # one row per stretch of a file that a task read
+    order = Window.orderBy(F.length("file"), "file", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bases = cut(sizes.select("file", "first", "size", (F.sum("size").over(order) - F.col("size")).alias("base")))
+    total, stretches = bases.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    n, bases = -(-total // length), bases.drop("size")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins, own = batch["begin"].to_numpy(), [b.as_buffer() for b in batch["tokens"]]
+            lengths = np.array([b.size // 2 for b in own], np.int64)
+            first, last = begins // length, (begins + lengths - 1) // length
+            owner = np.repeat(np.arange(len(own)), last - first + 1)
+            index = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+            low = np.maximum(index * length, begins[owner])
+            high = np.minimum((index + 1) * length, begins[owner] + lengths[owner])
+            where = slots(index, n, key, phases)
+            # a document of any length leaves in batches of a few megabytes
+            for k in range(0, len(owner), 2048):
+                part = slice(k, k + 2048)
+                cuts = [own[o].slice(2 * (a - begins[o]), 2 * (b - a)).to_pybytes() for o, a, b in zip(owner[part], low[part], high[part])]
+                yield pa.RecordBatch.from_arrays([pa.array(where[part]), pa.array((low - index * length)[part].astype(np.int32)), batch["doc_id"].take(pa.array(owner[part])), pa.array(cuts, pa.binary())], ["slot", "begin", "doc_id", "tokens"])
+
+    based = made.join(F.broadcast(bases) if stretches <= SEND_STRETCHES else bases, ["file", "first"]).select((F.col("base") + F.col("at")).alias("begin"), "doc_id", "tokens")
+    placed = based.mapInArrow(pieces, f"slot long, begin int, doc_id {kind}, tokens binary")
+    shards = max(1, -(-n // per_shard))
+    tasks = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // 64))
+    # slots are evenly filled, so ranges of shards need no sample of the rows
+    dealt = placed.repartitionById(tasks, F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("slot", "begin")
+    return dealt.mapInArrow(_assemble(length, per_shard, end, uri), f"slot long, shard long, path string, byte_offset long, doc_ids array<{kind}>, begins array<int>, n_tokens int, tokens binary")
+
+
+def _shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+class _Writer:
+    """Writes sequences in slot order to shards, each under a name of its own attempt that is then moved to its name, so a task that runs twice leaves one whole file."""
+
+    def __init__(self, uri: str | None, per_shard: int):
+        self.per_shard, self.at, self.out = per_shard, None, None
+        if uri is not None:
+            self.store, self.folder = _store(uri)
+            self.store.create_dir(self.folder, recursive=True)
+        else:
+            self.store = None
+
+    def path(self, shard: int) -> str | None:
+        return self.store and f"{self.folder}/{_shard_name(shard)}"
+
+    def write(self, first: int, body: bytes, stride: int) -> None:
+        """``body``: sequences in neighbouring slots from ``first`` on."""
+        count = len(body) // stride
+        while self.store and count:
+            shard = first // self.per_shard
+            if shard != self.at:
+                self.close()
+                self.at, self.name = shard, f"{self.folder}/.{_shard_name(shard)}.{TaskContext.get().taskAttemptId()}"
+                self.out = self.store.open_output_stream(self.name)
+            fit = min(count, (shard + 1) * self.per_shard - first)
+            self.out.write(body[: fit * stride])
+            first, count, body = first + fit, count - fit, body[fit * stride :]
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            try:
+                self.store.move(self.name, self.path(self.at))
+            except OSError:  # another attempt was first, and this store doesn't replace files
+                if not self.store.get_file_info(self.path(self.at)).is_file:
+                    raise
+                self.store.delete_file(self.name)
+            self.at = self.out = None
+
+
+def _assemble(length: int, per_shard: int, end: int, uri: str | None):
+    """Pieces in the order of slots and places become whole sequences."""
+    stride = 2 * length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = _Writer(uri, per_shard)
+        rest: pa.RecordBatch | None = None
+
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            slot = batch["slot"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+            own, offsets = slot[starts], pa.array(np.append(starts, len(slot)).astype(np.int32))
+            sizes = np.add.reduceat(np.array([b.as_buffer().size for b in batch["tokens"]], np.int64), starts)
+            body = b"".join(batch["tokens"].to_pylist())
+            short = np.flatnonzero(sizes < stride)
+            if len(short):  # the last sequence of the stream
+                cut_at = int(sizes[: short[0] + 1].sum())
+                body = body[:cut_at] + np.full((stride - sizes[short[0]]) // 2, end, "<u2").tobytes() + body[cut_at:]
+            writer.write(int(own[0]), body, stride)
+            shards = own // per_shard
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(shards), pa.array([writer.path(x) for x in shards.tolist()], pa.string()), pa.array(own % per_shard * stride), pa.ListArray.from_arrays(offsets, batch["doc_id"]), pa.ListArray.from_arrays(offsets, batch["begin"]),
+                 pa.array((sizes // 2).astype(np.int32)), pa.Array.from_buffers(pa.binary(stride), len(own), [None, pa.py_buffer(body)]).cast(pa.binary())],
+                ["slot", "shard", "path", "byte_offset", "doc_ids", "begins", "n_tokens", "tokens"],
+            )
 
         for batch in batches:
-            for shard, slot, value in zip(*(batch[c].to_pylist() for c in ("shard", "slot", "tokens"))):
-                if shard != at:
-                    if at is not None:
-                        yield close()
-                    at, first, count, digest = shard, slot, 0, hashlib.sha256()
-                    name = f"{folder}/.shard-{at:08d}.{context.taskAttemptId()}"
-                    out = store.open_output_stream(name)
-                out.write(value)
-                digest.update(value)
-                count += 1
-        if at is not None:
-            yield close()
-
-    return sequences.select("shard", "slot", "tokens").mapInArrow(run, "shard long, path string, first_slot long, n_sequences long, sha256 string")
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            slot = batch["slot"].to_numpy()
+            whole_ones = int(np.searchsorted(slot, slot[-1])) if len(slot) else 0
+            rest = batch.slice(whole_ones)
+            if whole_ones:
+                yield out(batch.slice(0, whole_ones))
+        if rest is not None and rest.num_rows:
+            yield out(rest)
+        writer.close()
+
+    return run
+
+
+def manifest(sequences: DataFrame) -> DataFrame:
+    """``shard, path, first_slot, n_sequences`` of the rows of :func:`training_shards`."""
+    return sequences.groupBy("shard").agg(F.min("path").alias("path"), F.min("slot").alias("first_slot"), F.count("*").alias("n_sequences"))
+
+
+def read_slots(uri: str, first: int = 0, *, length: int = LENGTH, per_shard: int = PER_SHARD, at_once: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from slot ``first`` on to the last, read in order from the shards under ``uri``; what stops can go on from any slot."""
+    store_, folder = _store(uri)
+    shard, skip, stride = first // per_shard, first % per_shard, 2 * length
+    while store_.get_file_info(f"{folder}/{_shard_name(shard)}").is_file:
+        with store_.open_input_file(f"{folder}/{_shard_name(shard)}") as file:
+            file.seek(skip * stride)
+            slot = shard * per_shard + skip
+            while body := file.read(at_once * stride):
+                for k in range(0, len(body), stride):
+                    yield slot, np.frombuffer(body, "<u2", length, k)
+                    slot += 1
+        shard, skip = shard + 1, 0

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.durable import shared_folder
 from tideline.llm import binary, decontaminate, licences, lines, mixing, quality, secrets, simhash, suffixes, tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,8 +92,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All token sequences of all documents in their shards, in training order."""
-    return binary.training_shards(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    """All token sequences of all documents in training order, written to shards in the shared folder."""
+    return binary.training_shards(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), uri=f"{shared_folder(spark)}/shards-{uuid4()}")
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
