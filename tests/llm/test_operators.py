@@ -338,6 +338,60 @@ def test_quality(spark):
     assert quality.judge(frame.limit(0)).count() == 0 and quality.judge(docs(spark, clean[:5])).where("kept").count() == 5
 
 
+def mcd_distances(rows):
+    """Squared distances of rows of features under the estimate that the operator describes, with NumPy's linear algebra."""
+    x = np.array(rows)
+    floors = np.diag(np.square(quality.FLOOR))
+    middle = lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
+    centre = middle(x, 0.5)
+    covariance = np.diag(np.square(middle(np.abs(x - centre), 0.5) * 1.4826)) + floors
+
+    def distance():
+        off = x - centre
+        return np.einsum("ij,ij->i", off @ np.linalg.inv(covariance), off)
+
+    for _ in range(quality.STEPS):
+        d = distance()
+        inside = x[d <= middle(d, quality.HALF)]
+        centre, covariance = inside.mean(axis=0), np.cov(inside.T, bias=True) * quality.CONSISTENT + floors
+    inside = x[distance() <= quality.REWEIGHT]
+    centre, covariance = inside.mean(axis=0), np.cov(inside.T, bias=True) + floors
+    return distance()
+
+
+def test_quality_against_an_own_estimate(spark):
+    draw = random.Random(28)
+
+    def text(k):
+        lines = [prose(draw, draw.randint(5, 20), draw.choice((300, 3000))) for _ in range(draw.randint(8, 25))]
+        if k % 3 == 0:
+            lines += lines[: draw.randint(1, 4)]
+        if k % 10 == 0:
+            lines = [" ".join(w + "#" * draw.randint(0, 4) for w in x.split()) for x in lines]
+        return "\n".join(lines)
+
+    rows = [(k, text(k), ("en", "de", None)[k % 3], ("a", "b")[k % 2]) for k in range(420)] + [(900 + k, text(1), "fr", f"small{k % 9}") for k in range(60)] + [(990, text(1), "it", "few")]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    groups = {}
+    for i, t, lang, source in rows:
+        n, chars, symbols, twice, again = statistics(t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        if not got[i].base_failed:
+            groups.setdefault((lang, source if lang not in ("fr", "it") else None), []).append((i, (np.log1p(n), chars / n, (symbols / n) ** 0.5, (twice / lines) ** 0.5, (again / n) ** 0.5)))
+    rejected = 0
+    for (lang, _), members in groups.items():
+        if lang == "it":
+            assert got[990].distance is None and got[990].kept
+            continue
+        assert len(members) >= 50
+        for (i, _), d in zip(members, mcd_distances([x for _, x in members])):
+            assert got[i].distance == pytest.approx(d, rel=1e-4, abs=1e-5) and got[i].kept == (d <= quality.CUTOFF)
+            rejected += d > quality.CUTOFF
+    assert rejected > 20
+    renamed = docs(spark, rows[:60]).withColumnsRenamed({"doc_id": "id", "text": "body"})
+    assert {r.doc_id for r in quality.judge(renamed, text="body", ident="id").collect()} == {r[0] for r in rows[:60]}
+
+
 def test_decontamination(spark):
     draw = random.Random(9)
     items = [(k, prose(draw, n, 3000)) for k, n in enumerate((12, 30, 40, 60, 400, 7, 3))] + [(50, None), (None, "x y z q"), (51, ""), (52, prose(random.Random(9), 12, 3000))]

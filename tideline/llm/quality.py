@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
 from tideline.llm.text import BLANKS, let, whole, words
 
 SYMBOLS = "#*$%&|<>"
@@ -27,6 +27,8 @@ FLOOR = (0.5, 0.5, 0.08, 0.16, 0.16)
 #: The share of rows an estimate rests on, its consistency factor for 5 features, and the 0.975 quantile of chi-square with 5 degrees.
 HALF, CONSISTENT, REWEIGHT = 0.75, 1.41, 12.83
 STEPS = 3
+#: The squared distance beyond which a document is rejected: far beyond the 0.975 quantile, as the statistics of clean texts have longer tails than a normal distribution.
+CUTOFF = 45.0
 KEYS = ["g_lang", "g_source", "g_small"]
 #: Greatest number of groups whose estimates are sent to all executors (about 400 bytes each).
 SEND_GROUPS = 50_000
@@ -62,13 +64,13 @@ def statistics(text: Column) -> Column:
     ))
 
 
-def _measured(docs: DataFrame, text: str, lang: str, source: str, carry: bool) -> DataFrame:
+def _measured(docs: DataFrame, text: str, lang: str, source: str, ident: str, carry: bool, min_words: int) -> DataFrame:
     """A row per document with its statistics, the verdict of the base rules, features x0..x4 and group."""
-    own = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else [docs["doc_id"].alias("doc_id")]
+    own = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else [F.col(ident).alias("doc_id")]
     stats = docs.select(*own, F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), statistics(whole(text)).alias("s"))
     s = lambda c: F.col("s")[c]
     n = F.greatest(s("n_words"), F.lit(1)).cast("double")
-    failed = (s("n_words") < 50) | (100 * s("n_repeat_words") > 50 * s("n_words"))
+    failed = (s("n_words") < min_words) | (100 * s("n_repeat_words") > 50 * s("n_words"))
     values = (
         F.log1p(s("n_words").cast("double")),
         s("word_chars") / n,
@@ -153,41 +155,42 @@ def estimates(passed: DataFrame, least: int = 50, steps: int = STEPS) -> tuple[D
     return now, groups
 
 
-def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 45.0, least: int = 50, carry: bool = False) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", ident: str = "doc_id", cutoff: float = CUTOFF, least: int = 50, min_words: int = 50) -> DataFrame:
     """Statistics and verdict of each document.
 
-    Returns ``doc_id`` (with ``carry``: the input row as ``row``), ``n_words,
-    word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance,
-    kept``. The base rules fail documents of fewer than 50 words, and those with
-    over half their words in repeated windows of three. The rest are rejected
-    if their squared distance from their language and source passes ``cutoff``;
-    the groups of fewer than ``least`` documents in a language are pooled, and
-    if those are still fewer than ``least``, none of them is rejected.
+    Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, distance, kept``. The base rules fail
+    documents of fewer than ``min_words`` words, and those with over half their
+    words in repeated windows of three. The rest are rejected if their squared distance
+    from their language and source passes ``cutoff``; the groups of fewer than
+    ``least`` documents in a language are pooled, and if those are still fewer
+    than ``least``, none of them is rejected.
 
     Null and empty text: no words, fails. Null language or source: a group of
     its own. Repeated rows count each. Empty table: no rows. Extra columns are
-    ignored or, with ``carry``, kept. Window equality is by 64-bit hash within
-    one text.
+    ignored. Window equality is by 64-bit hash within one text.
     """
+    judged = _judged(cut(_measured(docs, text, lang, source, ident, False, min_words)), cutoff, least)
+    return judged.select("doc_id", *(F.col("s")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", F.round("distance", 6).alias("distance"), "kept")
+
+
+def _judged(base: DataFrame, cutoff: float, least: int) -> DataFrame:
+    """The measured rows with ``distance`` and ``kept``."""
     x = [f"x{i}" for i in range(FEATURES)]
-    base = _measured(docs, text, lang, source, False if carry else carry).select(*([] if carry else ["doc_id", "s"]), "g_lang", "g_source", "base_failed", *x)
-    base = cut(base)
     passed = base.where(~F.col("base_failed")).select("g_lang", "g_source", *x)
     sizes = cut(passed.groupBy("g_lang", "g_source").agg((F.count("*") < least).alias("g_small")))
     number = sizes.count()
     table, groups = estimates(_grouped(passed, sizes, number), least)
-    rows = _grouped(_measured(docs, text, lang, source, True) if carry else base, sizes, number)
-    judged = _with(rows, table, groups).withColumn("distance", _distance([F.col(v) for v in x], "estimate"))
-    # one comparison that needs the estimate: a filter on it is not taken apart and measured twice
-    kept = F.coalesce("distance", F.lit(0.0)) + F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(F.lit(0.0)) <= cutoff
-    own = "row" if carry else "doc_id"
-    return judged.select(own, *(F.col("s")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", F.round("distance", 6).alias("distance"), kept.alias("kept"))
+    judged = _with(_grouped(base, sizes, number), table, groups).withColumn("distance", _distance([F.col(v) for v in x], "estimate"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", ident: str = "doc_id", cutoff: float = CUTOFF, least: int = 50, min_words: int = 50) -> DataFrame:
     """The documents that :func:`judge` keeps, with their columns.
 
-    The texts are read and measured a second time rather than shuffled to their verdicts.
+    Texts are read and measured once: those that pass the base rules are
+    written with their measures, whose columns alone the estimates read.
     """
-    judged = judge(docs, carry=True, **options).where("kept")
+    base = store(_measured(docs, text, lang, source, ident, True, min_words).where(~F.col("base_failed")).drop("s"))
+    judged = _judged(base, cutoff, least).where("kept")
     return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -34,6 +34,8 @@ RADIUS, BITS = 3, 64
 DENSE = 8192
 #: Keys of texts to read again that are broadcast.
 ASKED = 200_000
+#: Keys of rows to drop that are broadcast (16 MB).
+SEND_KEYS = 1_000_000
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -159,43 +161,48 @@ def components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", wi
     return own.join(names, "point").select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", width: int = 5, dense: int = DENSE, similar: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", width: int = 5, dense: int = DENSE, similar: bool = False, send: int = SEND_KEYS) -> DataFrame:
     """One document of each component, with its columns: the one with the smallest ``doc_id`` (null last), then by content.
 
     Documents are linked if their fingerprints are within three bits, with
     ``similar`` also if their sets of shingles have a Jaccard similarity of four
-    fifths or more. Of repeated rows one stays. The texts are shuffled once, to
-    meet the keys of the rows that stay.
+    fifths or more. Of rows that are equal in all columns one stays. The texts
+    are not shuffled: the rows to drop are known by 16 bytes each, which go to
+    all executors up to ``send`` of them, after a count; beyond that they are
+    joined by a shuffle.
     """
-    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    keyed = keyed.select("row", "doc_id", "text", *row_key(keyed, "doc_id", "text"))
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(ident).alias("doc_id"), F.col(text).alias("text"), *row_key(docs, *(f"`{c}`" for c in docs.columns)))
     small_batches(docs.sparkSession)
-    if not similar:
-        stay = _by_fingerprints(keyed, docs.schema[ident].dataType.simpleString(), width, dense)
-    else:
-        stay = _by_sets(keyed, docs.schema[ident].dataType.simpleString(), width, dense)
-    kept = keyed.select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    keys, stay = (_by_sets if similar else _by_fingerprints)(keyed, docs.schema[ident].dataType.simpleString(), width, dense)
+    counts = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    stay = stay.withColumn("stays", F.lit(True))
+    # rows to drop, and rows to keep one of: no others need a look
+    marks = cut(counts.join(stay, ["k1", "k2"], "left").where("stays is null or n > 1").select("k1", "k2", F.col("stays").isNotNull().alias("one")))
+    marks = F.broadcast(marks) if marks.count() <= send else marks
+    met = keyed.select("row", "k1", "k2").join(marks, ["k1", "k2"], "left")
+    once = met.where("one is null").select("row")
+    repeated = met.where("one").select("row", "k1", "k2").dropDuplicates(["k1", "k2"]).select("row")
+    return once.unionByName(repeated).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
-def _by_fingerprints(keyed: DataFrame, kind: str, width: int, dense: int) -> DataFrame:
-    """``k1, k2`` of the first row of each component of fingerprints."""
+def _by_fingerprints(keyed: DataFrame, kind: str, width: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """``k1, k2`` of all rows, and of the first row of each component of fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = np.array([fingerprint(x, width) for x in batch["text"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "k1", "k2")), pa.array(points)], ["doc_id", "k1", "k2", "point"])
 
-    own = keyed.select("doc_id", "k1", "k2", whole("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, point long")
+    own = cut(keyed.select("doc_id", "k1", "k2", whole("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, point long"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     points = cut(own.groupBy("point").agg(F.min(first).alias("first")))
     reached = connected_components(links(points.select("point"), dense=dense))
     group = points.join(reached, points["point"] == reached["node"], "left").select("first", F.coalesce("component", "point").alias("component"))
-    return group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    return own.select("k1", "k2"), group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
 
 
-def _by_sets(keyed: DataFrame, kind: str, width: int, dense: int) -> DataFrame:
-    """``k1, k2`` of the first row of each component of fingerprints and similar sets of shingles."""
+def _by_sets(keyed: DataFrame, kind: str, width: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """``k1, k2`` of all rows, and of the first row of each component of fingerprints and similar sets of shingles."""
     frequent = keyed.sparkSession.sparkContext.broadcast(shingles.frequent_shingles(keyed, "text", width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,4 +242,4 @@ def _by_sets(keyed: DataFrame, kind: str, width: int, dense: int) -> DataFrame:
     same = own.join(names, "point").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     reached = connected_components(near.unionByName(same).unionByName(shingles.similar_pairs(sets, members)))
     group = nodes.join(reached, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    return group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    return own.select("k1", "k2"), group.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
