@@ -11,14 +11,17 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.durable import shared_folder
+from tideline.durable import delete, shared_folder, temporary
 from tideline.llm import binary, decontaminate, mixing, quality, simhash
 from tideline.llm.catalog import tokenizer
 
+#: Equal stretches of the training order in which sequences are permuted; from one to the next the order of the curriculum holds.
+PHASES = 64
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the robust outlier test keep."""
-    return quality.keep_good(docs)
+    """Documents with a word that the repetition rule and the robust outlier test keep; short ones are judged by the test like any other."""
+    return quality.keep_good(docs, min_words=1)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in their shards."""
-    return binary.training_shards(docs, tokenizer("byte_bpe_50k.tiktoken"))
+    """Token sequences in their shards, which are written to the shared folder; the order of the files is that of the mix."""
+    return binary.training_shards(docs, tokenizer("byte_bpe_50k.tiktoken"), uri=f"{shared_folder(spark)}/shards-{uuid4()}", phases=PHASES)
 
 
 STAGES = [
@@ -53,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them goes to the shared folder."""
+    """All stages over ``documents``; what is between them goes to the shared folder and is deleted once the next stage has read it."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid4()}"
+    temporary(spark, folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            delete(spark, f"{folder}/{number - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

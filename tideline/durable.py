@@ -40,9 +40,24 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the application ends."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what nothing will read again."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def store(frame: DataFrame) -> DataFrame:
     """The same as :func:`cut` in columns: smaller where values repeat, for wide or large frames."""
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid4()}"
+    temporary(frame.sparkSession, path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
