@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -127,6 +128,30 @@ def test_suffix_repeats(spark, monkeypatch):
     assert suffixes.repeats(frame.limit(0)).count() == 0
 
 
+def test_suffixes_are_compared_alike_in_any_pieces(monkeypatch):
+    """Batches of any size, cut where first words change, against one batch."""
+    draw = random.Random(3)
+    texts = [[draw.choice("abcdef") * 3 for _ in range(20)] for _ in range(9)]
+    rows = []
+    for k in range(60):
+        words = [w for _ in range(6) for w in texts[draw.randrange(9)]]
+        words[draw.randrange(len(words))] = f"x{k}"
+        h = suffixes.word_hashes(" ".join(words).encode(), suffixes._Hashes())
+        at = suffixes.minimisers(h)
+        at = at[at + suffixes.REACH <= len(h)]
+        ahead, behind = suffixes._surroundings(h, at)
+        rows += [(k // 2 if k % 7 else None, k, len(h), int(x), a.tobytes(), b.tobytes()) for x, a, b in zip(at, ahead, behind)]
+    rows.sort(key=lambda r: r[4])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    every = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "k", "n", "at", "ahead", "behind"])
+    found = []
+    for size, at_once in ((len(rows), 10**6), (7, 1), (50, 30)):
+        monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+        found.append(Counter(map(str, (r for x in suffixes._neighbours(iter([every.slice(k, size) for k in range(0, len(rows), size)])) for r in x.to_pylist()))))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 30
+    assert list(suffixes._neighbours(iter([every.slice(0, 0)]))) == []
+
+
 def test_token_counts(spark):
     path = tokenizer("piece_bpe_32k.model")
     model = tokens._model(path)
@@ -299,9 +324,32 @@ def test_licences(spark):
     assert licences.scan(frame).count() == len(rows) and licences.scan(frame.limit(0)).count() == 0
 
 
+def test_wrapped_headers_and_whole_files(spark):
+    gpl = "/*\n * Copyright (C) 2001 Somebody\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main;"
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n'
+    bsd = "Copyright (c) 2003, Somebody. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice"
+    mit = "MIT License\n\n" + licences.TEMPLATES["MIT"][-1].replace(" to ", "\nto ") + "\n\nThe above copyright notice shall be included."
+    lgpl = gpl.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2.1")
+    rows = [(1, gpl, "/a/b.c"), (2, apache, "/b/c.py"), (3, bsd, "/c/LICENSE"), (4, mit, "/d/COPYING"), (5, lgpl, "/e/f.c"), (6, gpl.replace("version 3", "version 2").replace("software:", "software;").replace("Foundation,", "Foundation;"), "/f/g.c"), (7, "All rights reserved.", "/g/h"), (8, "nothing", "/c/deep/er/x"), (9, "nothing", "/d/y"), (10, "nothing", "/zz/y"), (11, "nothing", "")]
+    got = {r.doc_id: (r.licence, r.inherited_from, r.effective) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert {i: x[0] for i, x in got.items()} == {1: "GPL-3.0", 2: "Apache-2.0", 3: "BSD-3-Clause", 4: "MIT", 5: "LGPL-2.1", 6: "GPL-2.0", 7: "Proprietary", 8: None, 9: None, 10: None, 11: None}
+    assert (got[8][1:], got[9][1:], got[10][1:], got[11][1:]) == (("c", "BSD-3-Clause"), ("d", "MIT"), (None, None), (None, None))
+
+
+def test_own_templates_and_a_licence_in_the_root(spark, monkeypatch):
+    own = {"House": ("Bring three apples to the kitchen and share them freely",)}
+    rows = [(1, "Well.\nBring three apples to the kitchen and share them freely.\nBye.", "/LICENSE"), *((k, f"words {k}", f"/d{k % 7}/e{k % 3}/f.txt") for k in range(2, 60))]
+    for most in (100_000, 0):  # the second time without a broadcast
+        monkeypatch.setattr(licences, "small", lambda frame, most=most: frame if not most else F.broadcast(frame))
+        got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), templates=own).collect()
+        assert len(got) == len(rows) and {(r.effective, r.inherited_from) for r in got if r.doc_id > 1} == {("House", "")}
+    with pytest.raises(ValueError):
+        licences.trigger({"x": ("...",)})
+
+
 def test_every_template_is_found_as_itself(spark):
     rows = [(k, t, n) for k, (n, t) in enumerate((n, t) for n, ts in licences.TEMPLATES.items() for t in ts if re.search(licences.TRIGGER, t))]
-    assert len(rows) > 25
+    assert len(rows) == sum(map(len, licences.TEMPLATES.values()))
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, name string"), path=F.lit(None)).collect()}
     assert {k: got[k].licence for k, _, _ in rows} == {k: n for k, _, n in rows}
 

@@ -97,8 +97,14 @@ def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licence of every document; its path is its source, language and number."""
-    path = F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))
+    """The licence of every document, its own or that of the nearest directory above it.
+
+    The table has no paths. A document's is its source's directory, or that of its
+    language or a part of it below, by its number; one whose first line speaks of
+    a licence is the licence file there.
+    """
+    name = F.when(F.rlike(F.substring_index("text", "\n", 1), F.lit("(?i)licen[cs]e")), F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.lit(""), "source", F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("part-"), (F.col("doc_id") % 4).cast("string"))), name)
     return licences.scan(_table(spark, sf_dir, "documents"), path=path)
 
 
@@ -141,11 +147,19 @@ from d left join a using (r)
 
 
 def _op7_sql() -> str:
-    """Sentences, their vectors and cosines; no path of this query names a licence file, so nothing is inherited."""
+    """Sentences, their vectors and cosines, and the nearest directory with a licence file."""
+    quoted = lambda p: p.replace("'", "''")
     known = ", ".join(f"('{t}', '{name}', '{name}#{k}', {float(ts.count(t))})" for name, texts in licences.TEMPLATES.items() for k, text in enumerate(texts) for ts in [licences._terms(text)] for t in dict.fromkeys(ts))
+    word, stop = quoted(licences.trigger(licences.TEMPLATES)), f"'{licences.STOP}', '\\1' || chr(10), 'g'"
+    last = ", ".join(f"'{x}'" for x in licences.LAST)
     return f"""
-with d as (select row_number() over () as r, doc_id, concat_ws('/', '', source, lang, doc_id) as path, coalesce(text, '') as t from documents),
-s as (select r, list_filter(string_split(regexp_replace(t, '{licences.STOP}', '\\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '{licences.TRIGGER}')) as s from d),
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t,
+    concat_ws('/', '', source, case when doc_id % 3 > 0 then lang end, case when doc_id % 3 = 2 then 'part-' || (doc_id % 4) end,
+      case when regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '(?i)licen[cs]e') then 'LICENSE' else doc_id || '.txt' end) as path from documents),
+sa as (select r, path, t, list_transform(list_filter(string_split(regexp_replace(t, {stop}), chr(10)), lambda x: regexp_matches(x, '{word}')), lambda x: regexp_replace(x, '^[\\x20\\x09#*;%/-]+|[\\x20\\x09-\\x0D]+$', '', 'g')) as a,
+    regexp_replace(regexp_replace(chr(10) || t, '{licences.MARKS}', chr(10), 'g'), '\\n\\n+', chr(1), 'g') as p from d),
+sb as (select r, path, t, a, list_transform(list_filter(string_split(replace(regexp_replace(replace(p, chr(10), ' '), {stop}), chr(1), chr(10)), chr(10)), lambda x: regexp_matches(x, '{word}')), lambda x: trim(x)) as b from sa),
+s as (select r, list_concat(list_concat(a, list_distinct(list_filter(b, lambda x: not list_contains(a, x)))), case when regexp_matches(path, '{licences.FILE}') then [t] else [] end) as s from sb),
 u as (select r, unnest(s) as said, generate_subscripts(s, 1) as u from s),
 w as (select r, u, term, count(*)::double as tf from (select r, u, unnest(regexp_extract_all(lower(said), '[a-z0-9]+')) as term from u) group by all),
 n as (select count(*)::double as n from (select distinct r, u from w)),
@@ -156,10 +170,15 @@ kw as (select term, licence, template, tf * idf as x from k join i using (term))
 kn as (select template, sqrt(sum(x * x)) as l from kw group by template),
 ww as (select r, u, term, tf * coalesce(idf, ln((n + 1) / 2) + 1) as x from w left join i using (term), n),
 wn as (select r, u, sqrt(sum(x * x)) as l from ww group by r, u),
-c as (select r, u, licence, template, round(sum(ww.x * kw.x) / any_value(wn.l) / any_value(kn.l), 6) as cosine from ww join kw using (term) join wn using (r, u) join kn using (template) group by r, u, licence, template),
-b as (select r, u, licence, cosine, row_number() over (partition by r, u order by cosine desc, licence) as p from c where cosine >= {licences.SIMILAR}),
-o as (select r, count(distinct u) as n_statements, first(licence order by cosine desc, licence) as licence, max(cosine) as similarity from b where p = 1 group by r)
-select doc_id, path, licence, similarity, coalesce(n_statements, 0)::bigint as n_statements, null::varchar as inherited_from, licence as effective from d left join o using (r)
+c as (select r, u, licence, licence in ({last}) as z, template, round(sum(ww.x * kw.x) / any_value(wn.l) / any_value(kn.l), 6) as cosine from ww join kw using (term) join wn using (r, u) join kn using (template) group by r, u, licence, template),
+b as (select r, u, licence, z, cosine, row_number() over (partition by r, u order by z, cosine desc, licence) as p from c where cosine >= {licences.SIMILAR}),
+o as (select r, count(distinct u) as n_statements, first(licence order by z, cosine desc, licence) as licence, first(cosine order by z, cosine desc, licence) as similarity, first(z order by z, cosine desc, licence) as z from b where p = 1 group by r),
+g as (select r, doc_id, path, licence, similarity, z, coalesce(n_statements, 0)::bigint as n_statements, regexp_replace(regexp_replace(path, '^/+', ''), '/?[^/]*$', '') as folder from d left join o using (r)),
+h as (select folder as dir, first(licence order by z, similarity desc, licence) as given from g where licence is not null and regexp_matches(path, '{licences.FILE}') group by folder),
+q as (select distinct folder, list_filter(string_split(folder, '/'), lambda x: x <> '') as ps from g where licence is null),
+a as (select folder, unnest(list_transform(range(0, len(ps) + 1), lambda i: struct_pack(i := i, dir := array_to_string(ps[1:i], '/')))) as x from q),
+m as (select folder, arg_max(h.dir, x.i) as dir, arg_max(given, x.i) as given from a join h on h.dir = x.dir group by folder)
+select doc_id, path, licence, similarity, n_statements, case when licence is null then m.dir end as inherited_from, coalesce(licence, given) as effective from g left join m using (folder)
 """
 
 

@@ -7,15 +7,20 @@ both copies of a passage of ``LONG`` words keep a suffix at the same place of
 the passage, with at least ``REACH`` words of the passage ahead of it and fewer
 than ``SPREAD`` behind it.
 
-The kept suffixes are put in order by the hash of their first ``REACH`` words
-and then by the hash of all words that a passage around them can reach
-(``SPREAD`` - 1 to the left, ``LONG`` to the right), so that equal ones are
-neighbours. Suffixes that agree in all of that need no further look. The others
-that agree in their first words are extended left and right: for each beginning
-that a passage of ``LONG`` words around them can have, the passages are
-compared. Overlapping ones join up to the longest. All orders go by hash, not by
-letters, so a passage that every document shares is spread by what is around
-it, and equal neighbours are counted before they are shuffled.
+Suffixes whose first ``REACH`` words no other text has are dropped, by a hash.
+Those that agree in all words that a passage around them can reach (``SPREAD`` - 1
+to the left, ``LONG`` to the right) need no further look, and one of them speaks
+for the others. The rest are put in suffix order: range-partitioned by their
+first ``REACH`` words and sorted by their first ``LONG``, word by word. How many
+words neighbours share tells which stretches of the order share 11, 12, ... 50
+words to the right; the same order of what lies to the left, read backwards, tells
+which share 0, 1, ... 39 words there. A passage that begins d words to the left of
+a suffix is repeated where two texts share d words to the left and 50 - d to the
+right. Overlapping passages join up to the longest.
+
+First words that more than ``HOT`` suffixes share (a passage of every document,
+with something else around it in each) would fill a task; their passages are
+counted by hash with partial aggregation instead, and never gathered.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ from tideline.operators.postings import small
 
 LONG, SPREAD, GRAM = 50, 40, 5
 REACH = LONG - SPREAD + 1
-#: Suffixes with the same first words that one task compares, about 200 KB.
-HOT = 2_000
+#: Suffixes with the same first words that one task compares, about 1.5 MB; suffixes that a task sets out at once.
+HOT, AT_ONCE = 2_000, 20_000
 #: Texts, and places in them, that are sent to all executors at most for extension (about 64 MB); more are joined by a shuffle.
 SEND_TEXTS, SEND_PLACES = 300_000, 8_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,37 +155,132 @@ def repeats(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> Da
     again = suffixes.groupBy("first").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("times")).where("k0 <> k1").select("first", "times")
     found = store(_compared(suffixes, store(again)))
 
-    marks = found.groupBy("doc_id", "k").agg(F.collect_list("at").alias("shared"), F.collect_list(F.when(F.col("open"), F.col("at"))).alias("open"))
-    marks = store(marks.where(F.size("open") > 0).withColumnsRenamed({"doc_id": "m_id", "k": "m_k"}))
-    n, places = marks.agg(F.count("*"), F.sum(F.size("shared") + F.size("open"))).first()
+    marks = found.groupBy("doc_id", "k").agg(F.collect_list("at").alias("shared"), F.collect_list(F.when(F.col("open") & ~F.col("hot"), F.col("at"))).alias("open"), F.collect_list(F.when(F.col("open") & F.col("hot"), F.col("at"))).alias("hot"))
+    marks = store(marks.where("size(open) + size(hot) > 0").withColumnsRenamed({"doc_id": "m_id", "k": "m_k"}))
+    n, places = marks.agg(F.count("*"), F.sum(F.size("shared") + F.size("open") + F.size("hot"))).first()
     marks = F.broadcast(marks) if n <= SEND_TEXTS and (places or 0) <= SEND_PLACES else marks
-    texts = rows.join(marks, (F.col("k") == F.col("m_k")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "k", "text", "shared", "open")
+    texts = rows.join(marks, (F.col("k") == F.col("m_k")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "k", "text", "shared", "open", "hot")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
-            made: list[tuple[np.ndarray, ...]] = []
-            for i, (value, shared, places) in enumerate(zip(*(batch[c].to_pylist() for c in ("text", "shared", "open")))):
+            for i, (value, shared, places, hot) in enumerate(zip(*(batch[c].to_pylist() for c in ("text", "shared", "open", "hot")))):
                 hashes = word_hashes(value, memo)
-                passages = run_hashes(hashes, LONG)
-                begin = np.unique((np.array(places, np.int64)[:, None] - np.arange(SPREAD)).ravel())
-                begin = begin[(begin >= 0) & (begin < len(passages))]
-                # a passage whose own minimisers aren't all shared isn't repeated
-                least = window_minimisers(hashes)
-                kept = np.zeros(len(hashes), bool)
-                kept[np.array(shared, np.int64)] = True
-                for k in range(LONG - GRAM - SPREAD + 2):
-                    at = least[begin + k]
-                    begin = begin[(at + REACH > begin + LONG) | kept[at]]
-                made.append((np.full(len(begin), i), begin.astype(np.int32), passages[begin].view(np.int64), np.full(len(begin), len(hashes), np.int32)))
-            if made:
-                yield _rows(batch, made, ["begin", "passage", "n"])
-
-    passages = store(texts.mapInArrow(extend, f"doc_id {kind}, k long, begin int, passage long, n int"))
+                at = np.array(places, np.int64)
+                for k in range(0, len(at), 4096):
+                    yield _in_place(batch, i, len(hashes), at[k : k + 4096], *_surroundings(hashes, at[k : k + 4096]))
+                if hot:
+                    begin, passages = _own_passages(hashes, shared, hot)
+                    yield _in_place(batch, i, len(hashes), begin, None, None, passages[begin].view(np.int64))
+
+    set_out = store(texts.mapInArrow(extend, f"doc_id {kind}, k long, n int, at int, ahead binary, behind binary, passage long"))
+    usual = set_out.where("ahead is not null").select("doc_id", "k", "n", "at", "ahead", "behind")
+    ordered = usual.repartitionByRange(F.substring("ahead", 1, 8 * REACH)).sortWithinPartitions("ahead")
+    extended = ordered.mapInArrow(_neighbours, f"doc_id {kind}, k long, n int, begin int, end int, least {kind}, most {kind}")
+    passages = set_out.where("passage is not null").select("doc_id", "k", "n", F.col("at").alias("begin"), "passage")
     equal = passages.groupBy("passage").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("k0 <> k1")
-    joined = passages.join(equal, "passage").select("doc_id", "k", "n", "begin", (F.col("begin") + LONG).alias("end"), "least", "most")
+    counted = passages.join(equal, "passage").select("doc_id", "k", "n", "begin", (F.col("begin") + LONG).alias("end"), "least", "most")
     settled = found.where("same").select("doc_id", "k", "n", (F.col("at") - (SPREAD - 1)).alias("begin"), (F.col("at") + LONG).alias("end"), "least", "most")
-    return _stretches(settled, joined, kind)
+    return _stretches(settled, extended.unionByName(counted), kind)
+
+
+def _surroundings(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words from each place on, and those before it read backwards, as bytes whose order is that of the words' hashes; the ends of the text stand as words of their own."""
+    padded = np.concatenate([np.full(SPREAD - 1, 1, np.uint64), hashes, np.full(LONG, 2, np.uint64)]).astype(">u8")
+    around = np.lib.stride_tricks.sliding_window_view(padded, SPREAD - 1 + LONG)[at]
+    return np.ascontiguousarray(around[:, SPREAD - 1 :]), np.ascontiguousarray(around[:, : SPREAD - 1][:, ::-1])
+
+
+def _own_passages(hashes: np.ndarray, shared: list[int], places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where passages around ``places`` begin whose own minimisers are all shared (else they aren't repeated), and the hashes of all passages."""
+    passages = run_hashes(hashes, LONG)
+    begin = np.unique((np.array(places, np.int64)[:, None] - np.arange(SPREAD)).ravel())
+    begin = begin[(begin >= 0) & (begin < len(passages))]
+    least = window_minimisers(hashes)
+    kept = np.zeros(len(hashes), bool)
+    kept[np.array(shared, np.int64)] = True
+    for k in range(LONG - GRAM - SPREAD + 2):
+        at = least[begin + k]
+        begin = begin[(at + REACH > begin + LONG) | kept[at]]
+    return begin, passages
+
+
+def _in_place(batch: pa.RecordBatch, i: int, n: int, at: np.ndarray, ahead: np.ndarray | None, behind: np.ndarray | None, passage: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of text ``i`` of a batch, one for each place."""
+    take = pa.array(np.full(len(at), i))
+    binary = lambda x: pa.nulls(len(at), pa.binary()) if x is None else pa.Array.from_buffers(pa.binary(8 * x.shape[1]), len(at), [None, pa.py_buffer(x)]).cast(pa.binary())
+    passages = pa.nulls(len(at), pa.int64()) if passage is None else pa.array(passage)
+    return pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["k"].take(take), pa.array(np.full(len(at), n, np.int32)), pa.array(at.astype(np.int32)), binary(ahead), binary(behind), passages], ["doc_id", "k", "n", "at", "ahead", "behind", "passage"])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(len(column), -1)
+
+
+def _shared_words(rows: np.ndarray) -> np.ndarray:
+    """How many words each row shares with the one before it, from the beginning."""
+    equal = rows[1:] == rows[:-1]
+    return np.where(equal.all(axis=1), rows.shape[1], equal.argmin(axis=1))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in order, compared with their neighbours and extended; those with the same first words are always looked at together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= AT_ONCE:
+            every = pa.concat_batches(held)
+            apart = np.flatnonzero(_shared_words(_words(every["ahead"])) < REACH)
+            edge = int(apart[-1]) + 1 if len(apart) else 0
+            if edge:
+                yield _extended(every.slice(0, edge))
+            held = [every.slice(edge)]
+    if sum(x.num_rows for x in held):
+        yield _extended(pa.concat_batches(held))
+
+
+def _extended(suffixes: pa.RecordBatch) -> pa.RecordBatch:
+    """``doc_id, k, n, begin, end, least, most``: stretches of repeated passages around each of some suffixes in order."""
+    rows = suffixes.num_rows
+    at, size, k = (suffixes[c].to_numpy().astype(np.int64) for c in ("at", "n", "k"))
+    owners = suffixes["doc_id"].to_pylist()
+    names = sorted({x for x in owners if x is not None})
+    place = {x: i for i, x in enumerate(names)}
+    low, high = (np.array([place.get(x, none) for x in owners], np.int64) for none in (len(names), -1))
+    right = _shared_words(_words(suffixes["ahead"]))
+    behind = _words(suffixes["behind"])
+    order = np.argsort(behind.view(f"V{8 * behind.shape[1]}").ravel(), kind="stable")
+    left = _shared_words(behind[order])
+    hits = np.zeros((rows, SPREAD), bool)
+    least, most = np.zeros((rows, SPREAD), np.int64), np.zeros((rows, SPREAD), np.int64)
+    for d in range(SPREAD):
+        inside = np.flatnonzero((at >= d) & (at - d + LONG <= size))
+        if not len(inside):
+            continue
+        ahead, back = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        ahead[1:] = np.cumsum(right < LONG - d)
+        back[order[1:]] = np.cumsum(left < d)
+        group = ahead[inside] * rows + back[inside]
+        by = np.argsort(group, kind="stable")
+        member, group = inside[by], group[by]
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        counts = np.diff(np.append(starts, len(member)))
+        spread = lambda x: np.repeat(x, counts)  # noqa: E731, B023
+        hits[member, d] = spread(np.minimum.reduceat(k[member], starts) != np.maximum.reduceat(k[member], starts))
+        least[member, d] = spread(np.minimum.reduceat(low[member], starts))
+        most[member, d] = spread(np.maximum.reduceat(high[member], starts))
+    # neighbouring beginnings make one stretch
+    row, d = np.nonzero(hits)
+    starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (d[1:] != d[:-1] + 1)))) if len(row) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(row)) - 1 if len(row) else starts
+    own = row[starts]
+    named = lambda x: pa.array([names[i] if 0 <= i < len(names) else None for i in x.tolist()], suffixes["doc_id"].type)
+    some = lambda f, x: f.reduceat(x[row, d], starts) if len(row) else np.empty(0, np.int64)
+    take = pa.array(own)
+    return pa.RecordBatch.from_arrays(
+        [suffixes["doc_id"].take(take), suffixes["k"].take(take), suffixes["n"].take(take), pa.array((at[own] - d[ends]).astype(np.int32)), pa.array((at[own] - d[starts] + LONG).astype(np.int32)), named(some(np.minimum, least)), named(some(np.maximum, most))],
+        ["doc_id", "k", "n", "begin", "end", "least", "most"],
+    )
 
 
 def _rows(batch: pa.RecordBatch, made: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
@@ -209,9 +309,9 @@ def _compared(suffixes: DataFrame, again: DataFrame) -> DataFrame:
     classes = hot.groupBy("first", "around").agg(*(c.alias(n) for n, c in measures.items()))
     several = classes.groupBy("first").agg((F.min("around") != F.max("around")).alias("several"))
     hot = hot.join(classes.join(several, "first"), ["first", "around"])
-    both = usual.unionByName(hot).withColumn("same", F.col("k0") != F.col("k1"))
+    both = usual.withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True))).withColumn("same", F.col("k0") != F.col("k1"))
     opened = F.col("several") & (~F.col("same") | (who == F.col("speaker")))
-    return both.select("doc_id", "k", "n", "at", "same", opened.alias("open"), "least", "most").where("same or open")
+    return both.select("doc_id", "k", "n", "at", "same", opened.alias("open"), "hot", "least", "most").where("same or open")
 
 
 def _stretches(settled: DataFrame, extended: DataFrame, kind: str) -> DataFrame:
