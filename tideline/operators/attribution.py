@@ -1,19 +1,22 @@
 """Scores of events for change points, and their permutation test.
 
 Events are rows ``(event_id, name, start, end)``, inclusive on the index axis.
-They are broadcast after a count; more than ``SEND_ROWS`` are an error, since
-every change point is scored against every event.
+A score falls with the distance to the nearer boundary of an event, so a change
+point only reaches so far: points and boundaries meet in buckets of the axis, as
+wide as two sigma, and never all with all. The number of events and of their
+shifts isn't bounded; they are broadcast if a count allows it, else shuffled.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.durable import cut
-from tideline.operators.postings import SEND_ROWS
+from tideline.operators.postings import SEND_ROWS, small
 
 NORMALISATIONS = ("none", "sqrt", "full")
 #: Places to which scores are rounded before they are compared.
@@ -41,18 +44,51 @@ def normalised(magnitude: Column, before: Column, mode: str = "sqrt") -> Column:
     return {"none": magnitude, "sqrt": magnitude / F.sqrt(base), "full": magnitude / base}[mode]
 
 
+def _reach(weight: Column, sigma: float, threshold: float, ablation: str | None) -> Column:
+    """The greatest distance at which a score can still come to ``threshold``, and a little more for rounding."""
+    if sigma <= 0:
+        return F.lit(0.0)
+    most = F.lit(1.0) if ablation == "no_mag" else weight
+    return F.when(most * 2 >= threshold, F.lit(float(sigma)) * F.log(F.greatest(most / threshold, F.lit(1.0))) + 1.0)
+
+
+def _met(points: DataFrame, events: DataFrame, sigma: float, threshold: float, ablation: str | None, on: list[str]) -> DataFrame:
+    """Points (``time, weight``) with each event (``start, end``) within their reach, equal in ``on``.
+
+    Both boundaries of an event have a bucket; a point looks into the buckets
+    that it reaches, and meets an event in the bucket of its nearer boundary.
+    """
+    wide = max(1, int(-(-2 * sigma // 1)))
+    bucket = lambda c: F.floor(c / wide)
+    ends = events.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col("start")), bucket(F.col("end"))))))
+    look = points.withColumn("__reach", _reach(F.col("weight"), sigma, threshold, ablation)).where("__reach is not null")
+    # no boundary lies outside of the buckets that there are
+    low, high = ends.agg(F.min("__bucket"), F.max("__bucket")).first()
+    if low is None:
+        look, low, high = look.limit(0), 0, 0
+    first, last = F.greatest(bucket(F.col("time") - F.col("__reach")), F.lit(low)), F.least(bucket(F.col("time") + F.col("__reach")), F.lit(high))
+    look = look.where(first <= last).withColumn("__bucket", F.explode(F.sequence(first, last)))
+    nearer = F.when(F.abs(F.col("time") - F.col("start")) <= F.abs(F.col("time") - F.col("end")), F.col("start")).otherwise(F.col("end"))
+    return look.join(ends, [*on, "__bucket"]).where(F.col("__bucket") == bucket(nearer)).drop("__bucket", "__reach")
+
+
 def score(points: DataFrame, events: DataFrame, sigma: float, *, normalisation: str = "sqrt", ablation: str | None = None, threshold: float = 0.1) -> DataFrame:
-    """Each change point with each event: ``proximity`` and ``score`` of ``threshold`` or more.
+    """Each change point with each event: ``proximity`` and ``score`` of ``threshold`` or more (above 0).
 
-    ``ablation``: ``no_prox`` scores by magnitude alone, ``no_mag`` by proximity alone.
+    ``ablation``: ``no_prox`` scores by magnitude alone, whatever the distance,
+    so its result has every point with every event, which must be ``SEND_ROWS``
+    at most; ``no_mag`` scores by proximity alone.
     """
-    if ablation not in (None, "no_prox", "no_mag"):
-        raise ValueError(f"no ablation {ablation}")
+    if ablation not in (None, "no_prox", "no_mag") or threshold <= 0:
+        raise ValueError(f"no ablation {ablation}, or a threshold of 0")
     sized = points.withColumn("weight", normalised(F.col("magnitude"), F.col("before"), normalisation))
     near = proximity(F.col("time"), F.col("start"), F.col("end"), sigma)
     value = {None: F.col("proximity") * F.col("weight"), "no_prox": F.col("weight"), "no_mag": F.col("proximity")}[ablation]
-    met = sized.join(bounded(events), F.lit(True)).withColumn("proximity", near).withColumn("score", F.round(value, DIGITS))
-    return met.where(F.col("score") >= threshold)
+    if ablation == "no_prox":
+        met = sized.where(F.round("weight", DIGITS) >= threshold).join(bounded(events), F.lit(True))
+    else:
+        met = _met(sized, small(cut(events)), sigma, threshold, ablation, [])
+    return met.withColumn("proximity", near).withColumn("score", F.round(value, DIGITS)).where(F.col("score") >= threshold)
 
 
 def observed(scored: DataFrame, *unit: str) -> DataFrame:
@@ -76,24 +112,40 @@ def offsets(spark, permutations: int, top: int, seed: int | None = None) -> Data
     return spark.createDataFrame([(b, draw.randint(1, top - 1)) for b in range(permutations)], "b int, offset long")
 
 
-def permutation_test(points: DataFrame, events: DataFrame, top: int, sigma: float, *, permutations: int = 1000, unit: tuple[str, ...] = ("pattern", "s", "e"), seed: int | None = None, normalisation: str = "sqrt", ablation: str | None = None, threshold: float = 0.1) -> DataFrame:
+def own_offset(unit: Sequence[str], b: Column, top: int, seed: int) -> Column:
+    """The shift of a hypothesis (``unit`` and event) with its own random numbers: a hash of its name, the seed and ``b``."""
+    return 1 + F.pmod(F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in unit), F.col("event_id"), b), F.lit(top - 1))
+
+
+def permutation_test(points: DataFrame, events: DataFrame, top: int, sigma: float, *, permutations: int = 1000, unit: tuple[str, ...] = ("pattern", "s", "e"), seed: int | None = None, independent: bool = False, normalisation: str = "sqrt", ablation: str | None = None, threshold: float = 0.1) -> DataFrame:
     """``(unit..., event_id, observed, p_value)``.
 
-    Every shift moves all events at once; p is (1 + the number of shifts with a
-    sum at least as large) / (1 + shifts). Hypotheses without any score are
-    none. What the magnitude gives is worked out once, and shifted sums count only
-    for pairs that were observed. No result if the axis has at most one position.
+    Every shift moves all events at once; with ``independent``, each hypothesis
+    has shifts of its own (:func:`own_offset`). p is (1 + the number of shifts
+    with a sum at least as large) / (1 + shifts). Hypotheses without any score
+    are none. Without proximity (``no_prox``) no shift changes a sum, and p is 1.
+    No result if the axis has at most one position.
     """
     spark = points.sparkSession
     if top <= 1:
         return points.select(*unit).limit(0).select(*unit, F.lit("").alias("event_id"), F.lit(0.0).alias("observed"), F.lit(1.0).alias("p_value"))
-    sized = points.select(*unit, "time", normalised(F.col("magnitude"), F.col("before"), normalisation).alias("weight"))
-    value = {None: F.col("proximity") * F.col("weight"), "no_prox": F.col("weight"), "no_mag": F.col("proximity")}[ablation]
     seen = cut(observed(score(points, events, sigma, normalisation=normalisation, ablation=ablation, threshold=threshold), *unit))
+    if ablation == "no_prox":
+        return seen.withColumn("p_value", F.lit(1.0))
+    sized = points.select(*unit, "time", normalised(F.col("magnitude"), F.col("before"), normalisation).alias("weight"))
+    value = {None: F.col("proximity") * F.col("weight"), "no_mag": F.col("proximity")}[ablation]
     begin, end = shifted(F.col("start"), F.col("end"), F.col("offset"), top)
-    moves = bounded(events.select("event_id", "start", "end").join(bounded(offsets(spark, permutations, top, seed)), F.lit(True)).select("event_id", "b", begin.alias("start"), end.alias("end")), 10 * SEND_ROWS)
-    spread = sized.join(seen.select(*unit, "event_id"), list(unit)).join(moves, "event_id")
-    moved = spread.withColumn("proximity", proximity(F.col("time"), F.col("start"), F.col("end"), sigma)).withColumn("score", F.round(value, DIGITS)).where(F.col("score") >= threshold)
+    bounds = events.select("event_id", "start", "end")
+    spread = sized.join(seen.select(*unit, "event_id"), list(unit))
+    if independent:
+        # as many rows as hypotheses and shifts: each is a random number of its own
+        own = seen.select(*unit, "event_id").join(small(cut(bounds)), "event_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+        moves = own.withColumn("offset", own_offset(unit, F.col("b"), top, seed or 0)).select(*unit, "event_id", "b", begin.alias("start"), end.alias("end"))
+        met = _met(spread, moves, sigma, threshold, ablation, [*unit, "event_id"])
+    else:
+        moves = bounds.join(F.broadcast(offsets(spark, permutations, top, seed)), F.lit(True))
+        met = _met(spread, small(cut(moves.select("event_id", "b", begin.alias("start"), end.alias("end"))), 10 * SEND_ROWS), sigma, threshold, ablation, ["event_id"])
+    moved = met.withColumn("proximity", proximity(F.col("time"), F.col("start"), F.col("end"), sigma)).withColumn("score", F.round(value, DIGITS)).where(F.col("score") >= threshold)
     sums = moved.groupBy(*unit, "event_id", "b").agg(F.round(F.sum("score"), DIGITS).alias("sum"))
     counts = sums.join(seen, [*unit, "event_id"]).where(F.col("sum") >= F.col("observed")).groupBy(*unit, "event_id").agg(F.count("*").alias("n"))
     p = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(permutations + 1))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.support import positions, probe
+from tideline.durable import cut, ship
+from tideline.operators.postings import small
+from tideline.operators.support import BLOCK, positions, probe, steps
 
 
 def from_intervals(intervals: DataFrame, times: DataFrame, window: int, n: int, level: int = 20) -> DataFrame:
@@ -32,44 +37,108 @@ def from_intervals(intervals: DataFrame, times: DataFrame, window: int, n: int,
     return points.join(means, ["pattern", "time"]).select("pattern", "s", "e", "time", "direction", F.greatest(F.lit(1.0), change).alias("magnitude"), "before", "after")
 
 
-def threshold_crossings(series: DataFrame, theta: int, level: int = 20) -> DataFrame:
-    """Where a series ``(pattern, t, support)`` without gaps rises to ``theta`` or falls below it."""
-    order = Window.partitionBy("pattern").orderBy("t")
-    dense = F.col("support") >= theta
-    before = F.coalesce(F.avg("support").over(order.rowsBetween(-level, -1)), F.lit(0.0))
-    after = F.coalesce(F.avg("support").over(order.rowsBetween(0, level - 1)), F.lit(0.0))
-    marked = series.withColumns({"now": dense, "was": F.lag(dense, 1, False).over(order), "before": before, "after": after}).where("now <> was")
-    change = F.when(F.col("now"), F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
-    return marked.select("pattern", F.col("t").alias("time"), F.when(F.col("now"), "up").otherwise("down").alias("direction"), F.greatest(F.lit(1.0), change).alias("magnitude"), "before", "after")
-
-
-def cusum(series: DataFrame, drift: float = 0.5, bound: float = 4.0) -> DataFrame:
-    """Two-sided cumulative sums that start again after each alarm.
+def threshold_crossings(times: DataFrame, patterns: DataFrame, window: int, n: int, theta: int, level: int = 20, block: int = BLOCK) -> DataFrame:
+    """Where the support of a pattern rises to ``theta`` or falls below it; the series before its first position counts as below.
 
-    A fold over the ordered series of a pattern, so one pattern's series is one
-    array in memory.
+    Works on stretches of equal support, in blocks of the axis that see ``level``
+    positions beyond their ends, which is as far as the means look.
     """
-    x = lambda v: v["support"]
-    ordered = series.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("t", "support"))).alias("xs"), F.avg("support").alias("mean")).where(F.size("xs") >= 2)
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("last"), F.array().cast("array<struct<time:bigint,direction:string,magnitude:double,before:double,after:double>>").alias("out"))
-
-    def fold(a: Column, v: Column) -> Column:
-        up = F.greatest(F.lit(0.0), a["up"] + (x(v) - F.col("mean")) - drift)
-        down = F.greatest(F.lit(0.0), a["down"] - (x(v) - F.col("mean")) - drift)
-        alarm = lambda size, name: F.struct(v["t"].cast("bigint").alias("time"), F.lit(name).alias("direction"), size.alias("magnitude"), a["last"].alias("before"), x(v).cast("double").alias("after"))
-        out = F.when((up > bound) & (down > bound), F.concat(a["out"], F.array(alarm(up, "up"), alarm(down, "down"))))
-        out = out.when(up > bound, F.concat(a["out"], F.array(alarm(up, "up")))).when(down > bound, F.concat(a["out"], F.array(alarm(down, "down")))).otherwise(a["out"])
-        return F.struct(F.when(up > bound, 0.0).otherwise(up).alias("up"), F.when(down > bound, 0.0).otherwise(down).alias("down"), x(v).cast("double").alias("last"), out.alias("out"))
+    top, wide = positions(window, n), max(block, 8 * window, 4 * (level + 1))
+    order = Window.partitionBy("pattern", "block").orderBy("a")
+    found = steps(times, patterns, window, n, block=block, margin=level + 1)
+    # what starts up to ``level`` positions before and after, and the stretch that the first of those positions lies in
+    near = F.collect_list(F.struct("a", "b", "support"))
+    found = found.withColumns({
+        "was": F.coalesce(F.lag(F.col("support") >= theta).over(order), F.lit(False)),
+        "earlier": F.last(F.struct("a", "b", "support")).over(order.rangeBetween(Window.unboundedPreceding, -level)),
+        "around": near.over(order.rangeBetween(-(level - 1), level - 1)),
+    })
+    own = (F.col("a") >= F.col("block") * wide) & (F.col("a") < (F.col("block") + 1) * wide)
+    # a block's first stretch has nothing before it, but only the first block's is its own
+    points = found.withColumn("now", F.col("support") >= theta).where(own & (F.col("now") != F.col("was")))
+    every = F.when(F.col("earlier").isNull(), F.col("around")).otherwise(F.concat(F.array("earlier"), F.col("around")))
+
+    def mean(low: Column, high: Column) -> Column:
+        length = lambda x: F.greatest(F.least(x["b"], high) - F.greatest(x["a"], low) + 1, F.lit(0))
+        total = F.aggregate(every, F.lit(0).cast("long"), lambda s, x: s + length(x) * x["support"])
+        count = high - low + 1
+        return F.when(count > 0, total / F.greatest(count, F.lit(1)).cast("double")).otherwise(F.lit(0.0))
+
+    before = mean(F.greatest(F.col("a") - level, F.lit(0)), F.col("a") - 1)
+    after = mean(F.col("a"), F.least(F.col("a") + level, F.lit(top)) - 1)
+    marked = points.select("pattern", F.col("a").alias("time"), "now", before.alias("before"), after.alias("after"))
+    change = F.when(F.col("now"), F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
+    return marked.select("pattern", "time", F.when(F.col("now"), "up").otherwise("down").alias("direction"), F.greatest(F.lit(1.0), change).alias("magnitude"), "before", "after")
 
-    return ordered.select("pattern", F.explode(F.aggregate("xs", start, fold)["out"]).alias("p")).select("pattern", "p.*")
 
+def alarms(a: int, b: int, gain: float, held: float, bound: float) -> tuple[list[int], list[float], float]:
+    """One side of a cumulative sum over positions a .. b, each of which adds ``gain``: alarm times, their sums, and what is held after b.
 
-def detect(series: DataFrame, method: str = "threshold_crossing", *, theta: int = 5, level: int = 20, drift: float = 0.5, bound: float = 4.0) -> DataFrame:
-    """Change points of a series by a named method."""
+    The sum never falls below 0 and starts again at 0 after each alarm; it is
+    rounded to 9 places where it is compared with the bound.
+    """
+    if gain <= 0:
+        return [], [], max(0.0, held + (b - a + 1) * gain)
+
+    def needed(start: float) -> int:
+        """After how many positions the sum passes the bound."""
+        k = max(1, int((bound - start) / gain) - 1)
+        while round(start + k * gain, 9) <= bound:
+            k += 1
+        return k
+
+    first, every = needed(held), needed(0.0)
+    if a + first - 1 > b:
+        return [], [], held + (b - a + 1) * gain
+    times = list(range(a + first - 1, b + 1, every))
+    return times, [held + first * gain] + [every * gain] * (len(times) - 1), (b - times[-1]) * gain
+
+
+def cusum(times: DataFrame, patterns: DataFrame, window: int, n: int, drift: float = 0.5, bound: float = 4.0) -> DataFrame:
+    """Two-sided cumulative sums of support about its mean that start again after each alarm.
+
+    ``(pattern, time, direction, magnitude, before, after)``: the support at
+    the alarm and at the position before it (0 at the first). A pattern's
+    stretches pass in order through one task, which holds two sums and no
+    series; a stretch of equal support is worked out at once. Series of fewer
+    than two positions have no alarms.
+    """
+    if positions(window, n) < 2:
+        return patterns.select("pattern", F.lit(0).cast("long").alias("time"), F.lit("").alias("direction"), *(F.lit(0.0).alias(c) for c in ("magnitude", "before", "after"))).limit(0)
+    ship(times.sparkSession)
+    found = cut(steps(times, patterns, window, n))
+    means = found.groupBy("pattern").agg((F.sum(F.col("support") * (F.col("b") - F.col("a") + 1)) / F.lit(float(positions(window, n)))).alias("mean"))
+    kind = patterns.schema["pattern"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, up, down, last = None, 0.0, 0.0, 0.0
+        for batch in batches:
+            place, columns = [], ([], [], [], [], [])
+            for i, (pattern, a, b, support, mean) in enumerate(zip(*(batch[c].to_pylist() for c in ("pattern", "a", "b", "support", "mean")))):
+                if pattern != own:
+                    own, up, down, last = pattern, 0.0, 0.0, 0.0
+                for sign, name in ((1, "up"), (-1, "down")):
+                    held = up if sign > 0 else down
+                    at, sums, held = alarms(a, b, sign * (support - mean) - drift, held, bound)
+                    up, down = (held, down) if sign > 0 else (up, held)
+                    place += [i] * len(at)
+                    for c, v in zip(columns, (at, [name] * len(at), sums, [last if t == a else float(support) for t in at], [float(support)] * len(at))):
+                        c += v
+                last = float(support)
+            take = pa.array(place, pa.int64())
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["pattern"].take(take), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["pattern", "time", "direction", "magnitude", "before", "after"])
+
+    ordered = found.join(small(cut(means)), "pattern").select("pattern", "a", "b", "support", "mean").repartition("pattern").sortWithinPartitions("pattern", "a")
+    return ordered.mapInArrow(run, f"pattern {kind}, time long, direction string, magnitude double, before double, after double")
+
+
+def detect(times: DataFrame, patterns: DataFrame, window: int, n: int, method: str = "threshold_crossing", *, theta: int = 5, level: int = 20, drift: float = 0.5, bound: float = 4.0) -> DataFrame:
+    """Change points of the support of patterns by a named method."""
     if method == "threshold_crossing":
-        return threshold_crossings(series, theta, level)
+        return threshold_crossings(times, patterns, window, n, theta, level)
     if method == "cusum":
-        return cusum(series, drift, bound)
+        return cusum(times, patterns, window, n, drift, bound)
     raise ValueError(f"no method {method}")
 
 

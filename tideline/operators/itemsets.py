@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.durable import cut
 from tideline.operators.dense import check, runs, runs_within, scanned_within
 from tideline.operators.intervals import at_least, overlap
-from tideline.operators.postings import by_transaction, small
+from tideline.operators.postings import SEND_ROWS, by_transaction, small
 
 
 def candidates(level: DataFrame) -> DataFrame:
@@ -39,9 +39,9 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
     """M4: ``(pattern, size, s, e)`` of all dense itemsets, single items included.
 
     ``occ``: ``(t, basket_id, item)``, each item once per basket. Items that are
-    never dense are dropped first. Every level joins the occurrences of the
-    level before with single items of the same basket, keeps the candidates and
-    finds their dense intervals inside the common ranges of their items. The
+    never dense are dropped first. Every level looks up which items may follow
+    the patterns of the level before, keeps those that their baskets hold, and
+    finds dense intervals inside the common ranges of their items. The
     driver only asks whether a level is empty; each level is stored. With
     ``scanned``, intervals are those of a scan in order (:func:`dense.scan`)
     instead of runs cut to the ranges.
@@ -57,6 +57,8 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
     level = shown.select("pattern").distinct()
     items = level.select(F.col("pattern")[0].alias("item"))
     base = cut(occ.join(small(items), "item", "left_semi").select("basket_id", "t", "item"))
+    # the items of a basket as one array: a basket of k items never makes k * k rows, only those that a candidate asks for
+    baskets = cut(base.groupBy("basket_id").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1))
     held = base.select("basket_id", "t", F.array("item").alias("pattern"))
     ranges, dense = first, shown
     single_ranges = first.select(F.col("pattern")[0].alias("__item"), "s", "e")
@@ -68,9 +70,11 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
         from_head = parts.join(ranges.withColumnRenamed("pattern", "head"), "head").select("pattern", "__item", "s", "e")
         ranges = cut(overlap(from_head, single_ranges, "__item").select("pattern", "s", "e").distinct())
         allowed = at_least(ranges, window)
-        wanted = small(allowed.select("pattern").distinct())
-        pairs = held.join(base.withColumnsRenamed({"t": "__t"}), "basket_id").where(F.element_at("pattern", -1) < F.col("item"))
-        held = cut(pairs.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")).join(wanted, "pattern", "left_semi"))
+        wanted = allowed.select(F.slice("pattern", 1, size - 1).alias("pattern"), F.element_at("pattern", -1).alias("next")).groupBy("pattern").agg(F.collect_set("next").alias("next"))
+        wanted = cut(wanted)
+        total = wanted.agg(F.sum(F.size("next"))).first()[0] or 0
+        grown = held.join(F.broadcast(wanted) if total <= 5 * SEND_ROWS else wanted, "pattern").join(baskets, "basket_id").select("basket_id", "t", "pattern", F.explode(F.array_intersect("next", "items")).alias("item"))
+        held = cut(grown.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")))
         dense = cut(within(held.select("pattern", "t"), window, theta, allowed, convention=convention))
         level = dense.select("pattern").distinct()
         if size < max_length:

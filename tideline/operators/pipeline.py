@@ -12,7 +12,7 @@ from tideline.operators import attribution, baselines, changes
 from tideline.operators.correction import corrected, significant
 from tideline.operators.dedup import best_per_pair, by_score
 from tideline.operators.postings import timestamps
-from tideline.operators.support import positions, series
+from tideline.operators.support import positions
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ class Config:
     drift: float = 0.5
     bound: float = 4.0
     seed: int | None = None
+    independent: bool = False
 
 
 def attribute(dense: DataFrame, occ: DataFrame, events: DataFrame, n: int, config: Config) -> DataFrame:
@@ -59,14 +60,13 @@ def attribute(dense: DataFrame, occ: DataFrame, events: DataFrame, n: int, confi
         points = changes.from_intervals(chosen, times, config.window, n, config.level)
         unit = ("pattern", "s", "e") if config.unit == "interval" else ("pattern",)
     else:
-        flat = series(times, chosen, config.window, n)
-        points = changes.detect(flat, config.change_method, theta=config.theta, level=config.level, drift=config.drift, bound=config.bound)
+        points = changes.detect(times, chosen, config.window, n, config.change_method, theta=config.theta, level=config.level, drift=config.drift, bound=config.bound)
         points = points.withColumns({"s": F.lit(None).cast("long"), "e": F.lit(None).cast("long")})
         unit = ("pattern",)
     points = cut(changes.strong(points, config.min_magnitude, config.min_relative))
     sigma = float(config.window if config.sigma is None else config.sigma)
     same = {"normalisation": config.normalisation, "ablation": config.ablation, "threshold": config.threshold}
-    tested = cut(attribution.permutation_test(points, events, top, sigma, permutations=config.permutations, unit=unit, seed=config.seed, **same))
+    tested = cut(attribution.permutation_test(points, events, top, sigma, permutations=config.permutations, unit=unit, seed=config.seed, independent=config.independent, **same))
     groups = () if config.global_correction else ("pattern",)
     kept = significant(corrected(tested, config.correction, "p_value", *groups), config.alpha)
     at = attribution.representatives(attribution.score(points, events, sigma, **same), *unit).select(*unit, "event_id", "at")

@@ -5,29 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Least width of a block of the axis.
+BLOCK = 1 << 16
+
 
 def positions(window: int, n: int) -> int:
     """The number of left ends, ``max(0, n - window + 1)``."""
     return max(0, n - window + 1)
 
 
-def steps(times: DataFrame, patterns: DataFrame, window: int, n: int) -> DataFrame:
+def steps(times: DataFrame, patterns: DataFrame, window: int, n: int, *, block: int = BLOCK, margin: int | None = None) -> DataFrame:
     """``(pattern, a, b, support)``: the series as stretches [a, b] of equal support over 0 .. n - window.
 
     Each occurrence adds one from ``t - window + 1`` and takes it away after
-    ``t``. The rows grow with the occurrences, never with the length of the axis.
+    ``t``. The axis is cut into blocks of ``block`` positions (or eight windows),
+    and so are the stretches: an occurrence matters to two blocks at most, and no
+    task holds a whole pattern. The rows grow with the occurrences and the
+    number of blocks, not with the length of the axis.
+
+    With ``margin``, every block also shows that many positions on either side
+    of it, and its number is in ``block``.
     """
     top = positions(window, n)
+    more = ["block"] if margin is not None else []
     if top == 0:
-        return patterns.select("pattern", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("support")).limit(0)
-    up = times.select("pattern", F.greatest(F.col("t") - (window - 1), F.lit(0)).cast("long").alias("at"), F.lit(1).alias("d"))
-    down = times.select("pattern", (F.col("t") + 1).cast("long").alias("at"), F.lit(-1).alias("d"))
-    ends = patterns.select("pattern").distinct().select("pattern", F.lit(0).cast("long").alias("at"), F.lit(0).alias("d"))
-    deltas = up.unionByName(down).unionByName(ends).where(F.col("at") < top).groupBy("pattern", "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy("pattern").orderBy("at")
+        return patterns.select("pattern", *(F.lit(0).cast("long").alias(c) for c in (*more, "a", "b", "support"))).limit(0)
+    side = margin or 0
+    wide = max(block, 8 * window, 4 * side)
+    last = (top - 1) // wide
+    low, high = F.greatest(F.col("block") * wide - side, F.lit(0)), F.least((F.col("block") + 1) * wide + side, F.lit(top))
+    first = F.greatest(F.floor((F.col("t") - (window - 1) - side) / wide), F.lit(0))
+    dealt = times.where((F.col("t") >= 0) & (F.col("t") < n)).select("pattern", "t", F.explode(F.sequence(first, F.greatest(first, F.least(F.floor((F.col("t") + side) / wide), F.lit(last))))).alias("block"))
+    up = dealt.select("pattern", "block", F.greatest(F.col("t") - (window - 1), low).cast("long").alias("at"), F.lit(1).alias("d"), high.alias("high"), low.alias("low"), "t")
+    up = up.where("at < high and t >= low").select("pattern", "block", "at", "d")
+    down = dealt.select("pattern", "block", (F.col("t") + 1).cast("long").alias("at"), F.lit(-1).alias("d"), high.alias("high"), low.alias("low")).where("at < high and at > low").select("pattern", "block", "at", "d")
+    ends = patterns.select("pattern").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).select("pattern", "block", low.cast("long").alias("at"), F.lit(0).alias("d"))
+    deltas = up.unionByName(down).unionByName(ends).groupBy("pattern", "block", "at").agg(F.sum("d").alias("d"))
+    order = Window.partitionBy("pattern", "block").orderBy("at")
     level = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.coalesce(F.lead("at").over(order) - 1, F.lit(top - 1))
-    return deltas.select("pattern", F.col("at").alias("a"), ahead.cast("long").alias("b"), level.cast("long").alias("support"))
+    ahead = F.coalesce(F.lead("at").over(order) - 1, high - 1)
+    return deltas.select("pattern", *more, F.col("at").alias("a"), ahead.cast("long").alias("b"), level.cast("long").alias("support"))
 
 
 def series(times: DataFrame, patterns: DataFrame, window: int, n: int) -> DataFrame:

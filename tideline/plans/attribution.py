@@ -11,19 +11,19 @@ from tideline.plans import base
 from tideline.plans.base import NAME, SQL_BASE, TEST, sql_pairs
 
 W, TH = TEST
-LEVEL, SHIFTS, SIGMA = 20, 50, 500.0
-CONFIG = pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=0.3)
+LEVEL, SHIFTS, SIGMA, ALPHA = 20, 1000, 500.0, 0.05
+CONFIG = pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA)
 
 
 def _given(spark, d):
     found, own = base.pairs(spark, d)
     n = base.length(spark, d)
-    return found, cut(postings.timestamps(own, found)), base.events(spark, n), n, own
+    return found, base.held(spark, d, "times", lambda: cut(postings.timestamps(own, found))), base.events(spark, n), n, own
 
 
 def _points(spark, d):
     found, times, events, n, _ = _given(spark, d)
-    return cut(changes.from_intervals(found, times, W, n, LEVEL)), events, n
+    return base.held(spark, d, "points", lambda: cut(changes.from_intervals(found, times, W, n, LEVEL))), events, n
 
 
 def _rounded(frame, *columns, digits=6):
@@ -37,8 +37,9 @@ def s1_support_series(spark, d):
 
 
 def s3_probe(spark, d):
+    """The support of pairs at places all over the axis."""
     _, times, _, n, _ = _given(spark, d)
-    asked = times.select("pattern").distinct().select("pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1200).cast("long"), F.lit(100).cast("long"))).alias("t"))
+    asked = times.select("pattern").distinct().select("pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(max(1, n // 50)).cast("long"))).alias("t"))
     return support.probe(times, asked, W).select(base.text(), "t", "support")
 
 
@@ -49,15 +50,14 @@ def s4_change_points(spark, d):
 
 def s5_threshold_crossings(spark, d):
     own = base.occ(spark, d).select(F.array("item").alias("pattern"), "t")
-    series = support.series(own, own, W, base.length(spark, d))
-    found = changes.detect(series, "threshold_crossing", theta=75, level=LEVEL)
+    found = changes.detect(own, own, W, base.length(spark, d), "threshold_crossing", theta=75, level=LEVEL)
     return _rounded(found.select(base.text(), "time", "direction", "magnitude", "before", "after"), "magnitude", "before", "after")
 
 
 def s6_cusum(spark, d):
-    """Alarms on the first 2,000 positions of the support of four brands: a fold, checked by a recursive query."""
-    own = base.occ(spark, d).where("item < 4 and t < 1000").select(F.array("item").alias("pattern"), "t")
-    found = changes.detect(support.series(own, own, 100, 1000), "cusum", drift=0.5, bound=4.0)
+    """Alarms on the support of every brand; a fold over the whole axis, which recursive SQL is too slow for. Tested against the plain fold."""
+    own = base.occ(spark, d).select(F.array("item").alias("pattern"), "t")
+    found = changes.detect(own, own, 100, base.length(spark, d), "cusum", drift=0.5, bound=4.0)
     return _rounded(found.select(base.text(), "time", "direction", "magnitude", "before", "after"), "magnitude")
 
 
@@ -111,7 +111,7 @@ def a5_shifts(spark, d):
 
 def _tested(spark, d, unit=("pattern", "s", "e")):
     points, events, n = _points(spark, d)
-    return cut(attribution.permutation_test(points, events, support.positions(W, n), SIGMA, permutations=SHIFTS, unit=unit)), points, events
+    return base.held(spark, d, ("tested", unit), lambda: cut(attribution.permutation_test(points, events, support.positions(W, n), SIGMA, permutations=SHIFTS, unit=unit))), points, events
 
 
 def a6_permutation_test(spark, d):
@@ -132,12 +132,11 @@ def a10_within_pattern(spark, d):
 
 
 def a11_series_attribution(spark, d):
-    """From threshold crossings of the series, within each pattern; tested by its rows against brute force."""
-    found, own = base.pairs(spark, d)
-    few = cut(found.where(F.col("pattern")[0] < 2))
-    config = pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=0.6, change_method="threshold_crossing", global_correction=False, correction="bonferroni")
-    n = base.length(spark, d)
-    return pipeline.attribute(few, own, base.events(spark, n), n, config).select(base.text(), "event_name", "time", F.round("score", 6).alias("score"), F.round("p_value", 6).alias("p_value"))
+    """From threshold crossings of the series, within each pattern."""
+    found, _, events, n, own = _given(spark, d)
+    config = pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA, change_method="threshold_crossing", global_correction=False, correction="bonferroni")
+    rows = pipeline.attribute(found, own, events, n, config)
+    return _rounded(rows.select(base.text(), "event_name", "time", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
 def a12_attribution(spark, d):
@@ -147,9 +146,16 @@ def a12_attribution(spark, d):
     return _rounded(rows.select(base.text(), "interval_start", "interval_end", "time", "direction", "event_name", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
+def a12_every_hypothesis(spark, d):
+    """The same with every hypothesis kept, whatever its p."""
+    found, _, events, n, own = _given(spark, d)
+    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=2.0))
+    return _rounded(rows.select(base.text(), "interval_start", "interval_end", "time", "direction", "event_name", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
+
+
 def a13_pooled_attribution(spark, d):
     found, _, events, n, own = _given(spark, d)
-    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=0.6, unit="pattern"))
+    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA, unit="pattern"))
     return _rounded(rows.select(base.text(), "event_name", "time", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
@@ -183,19 +189,19 @@ def _with_triples(spark, d):
 
 
 def g1_overlap_dedup(spark, d):
-    rows = _scored_pairs(spark, d).where(F.col("pattern")[0] % 5 == F.col("pattern")[1] % 5)
+    rows = _scored_pairs(spark, d)
     better = [F.desc("score"), F.desc(F.size("pattern")), F.col("pattern")]
     return _rounded(dedup.by_overlap(rows, better).select(base.text(), "event_name", "score"), "score")
 
 
 def g2_subset_dedup(spark, d):
     better = [F.desc("score"), F.desc(F.size("pattern")), F.col("pattern")]
-    rows = _with_triples(spark, d).where(F.col("pattern")[0] % 6 == 0)
+    rows = _with_triples(spark, d)
     return _rounded(dedup.by_subset(rows, better).select(base.text(), "event_name", "score"), "score")
 
 
 def g4_effect_dedup(spark, d):
-    rows = _with_triples(spark, d).where(F.col("pattern")[0] % 5 == F.col("pattern")[1] % 5).withColumn("effect", F.col("score"))
+    rows = _with_triples(spark, d).withColumn("effect", F.col("score"))
     return _rounded(dedup.by_effect(rows).select(base.text(), "event_name", "effect"), "effect")
 
 
@@ -254,7 +260,7 @@ def z1_relations(spark, d):
     return relations.relations(found, events, 100, 150).select(base.text(), "s", "e", "event_id", "relation", "overlap")
 
 
-QUERIES = [s1_support_series, s3_probe, s4_change_points, s5_threshold_crossings, s6_cusum, s8_bare_points, f14_support_range, f15_sampled_range, f16_strong_points, a3_scores, a3_ablations, a4_observed, a5_shifts, a6_permutation_test, a6_pooled_test, a10_within_pattern, a11_series_attribution, a12_attribution, a13_pooled_attribution, a14_naive, c1_benjamini_hochberg, c2_bonferroni, g1_overlap_dedup, g2_subset_dedup, g4_effect_dedup, g5_components, g6_best_per_pair, b1_mann_whitney, b3_causal_impact, b4_interrupted, b6_event_study, b7_coincidence, b8_contrast, b10_finished, z1_relations]
+QUERIES = [s1_support_series, s3_probe, s4_change_points, s5_threshold_crossings, s6_cusum, s8_bare_points, f14_support_range, f15_sampled_range, f16_strong_points, a3_scores, a3_ablations, a4_observed, a5_shifts, a6_permutation_test, a6_pooled_test, a10_within_pattern, a11_series_attribution, a12_attribution, a12_every_hypothesis, a13_pooled_attribution, a14_naive, c1_benjamini_hochberg, c2_bonferroni, g1_overlap_dedup, g2_subset_dedup, g4_effect_dedup, g5_components, g6_best_per_pair, b1_mann_whitney, b3_causal_impact, b4_interrupted, b6_event_study, b7_coincidence, b8_contrast, b10_finished, z1_relations]
 
 # --- SQL -------------------------------------------------------------------
 
@@ -269,13 +275,21 @@ av as (select pattern, t, coalesce(avg(support) over (partition by pattern order
 cp0 as (select pattern, s, e, s as time, 'up' as direction from d2 union all select pattern, s, e, e + 1, 'down' from d2),
 cp as (select cp0.*, before, after, greatest(1.0, case when direction = 'up' then after - before else before - after end) as magnitude from cp0 join av on av.pattern = cp0.pattern and av.t = time)"""
 _NEAR = "exp(-least(abs(time - start), abs(time - \"end\"))::double / 500.0)"
-_SCORED = _POINTS + f""",
+_SCORING = f""",
 sc as (select *, round({_NEAR} * (magnitude / sqrt(greatest(1.0, before))), 9) as score, {_NEAR} as proximity from cp, ev)
 , sk as (select * from sc where score >= 0.1)"""
 
+_SCORED = _POINTS + _SCORING
+#: Change points where the series of a pair crosses the least support.
+_CROSSED = _PAIRS + f""",
+mp as (select n - {W} + 1 as top from n),
+x as (select *, support >= {TH} as now, coalesce(lag(support >= {TH}) over (partition by pattern order by t), false) as was,
+  coalesce(avg(support) over (partition by pattern order by t rows between {LEVEL} preceding and 1 preceding), 0) as before, coalesce(avg(support) over (partition by pattern order by t rows between current row and {LEVEL - 1} following), 0) as after from sr),
+cp as (select pattern, null::bigint as s, null::bigint as e, t as time, case when now then 'up' else 'down' end as direction, before, after, greatest(1.0, case when now then after - before else before - after end) as magnitude from x where now <> was)""" + _SCORING
+
 
-def _permuted(unit: str) -> str:
-    return _SCORED + f""",
+def _permuted(unit: str, scored: str = _SCORED) -> str:
+    return scored + f""",
 ob as (select {unit}, event_id, round(sum(score), 9) as observed from sk group by {unit}, event_id),
 sf as (select b, 1 + (b * 7919 + 104729) % (top - 1) as off, top from mp, (select unnest(generate_series(0, {SHIFTS - 1})) as b)),
 mv as (select event_id, b, (start + off) % top as start, least((start + off) % top + "end" - start, top - 1) as "end" from ev, sf),
@@ -323,23 +337,11 @@ ef as (select pattern, event_id, k as effect, case when m * l * (1 - l) > 1e-12
 
 SQL = {
     "s1_support_series": f"{_SINGLE} select item::varchar as pattern, t, support from s1",
-    "s3_probe": f"{_PAIRS} select {NAME}, a.t, (select count(*) from tm where tm.pattern = pt.pattern and tm.t between a.t and a.t + {W - 1}) as support from pt, (select unnest(generate_series(0, 1200, 100)) as t) a",
+    "s3_probe": f"{_PAIRS}, a as (select pattern, unnest(generate_series(0, n - 1, greatest(1, n // 50)))::bigint as t from pt, n) select array_to_string(a.pattern, ',') as pattern, a.t, count(tm.t) as support from a left join tm on tm.pattern = a.pattern and tm.t >= a.t and tm.t <= a.t + {W - 1} group by a.pattern, a.t",
     "s4_change_points": f"{_POINTS} select {NAME}, s, e, time, direction, round(magnitude, 6) as magnitude, round(before, 6) as before, round(after, 6) as after from cp",
     "s5_threshold_crossings": f"""{_SINGLE}, x as (select *, support >= 75 as now, coalesce(lag(support >= 75) over (partition by item order by t), false) as was,
   coalesce(avg(support) over (partition by item order by t rows between {LEVEL} preceding and 1 preceding), 0) as before, coalesce(avg(support) over (partition by item order by t rows between current row and {LEVEL - 1} following), 0) as after from s1)
 select item::varchar as pattern, t as time, case when now then 'up' else 'down' end as direction, round(greatest(1.0, case when now then after - before else before - after end), 6) as magnitude, round(before, 6) as before, round(after, 6) as after from x where now <> was""",
-    "s6_cusum": f"""with recursive{SQL_BASE},
-gd as (select item, unnest(generate_series(0, 999)) as t from item where item < 4),
-s1 as (select item, t, support from (select gd.item, gd.t, sum(case when occ.t is null then 0 else 1 end) over (partition by gd.item order by gd.t rows between current row and 99 following)::double as support from gd left join occ on occ.item = gd.item and occ.t = gd.t) where t <= 900),
-mu as (select item, avg(support) as mu from s1 group by item),
-cs as (select item, -1::bigint as t, 0.0::double as up, 0.0::double as dn, 0.0::double as ru, 0.0::double as rd, 0.0::double as before, 0.0::double as x from mu
-  union all
-  select s.item, s.t, case when greatest(0, up + (s.support - mu) - 0.5) > 4 then 0 else greatest(0, up + (s.support - mu) - 0.5) end,
-    case when greatest(0, dn - (s.support - mu) - 0.5) > 4 then 0 else greatest(0, dn - (s.support - mu) - 0.5) end,
-    greatest(0, up + (s.support - mu) - 0.5), greatest(0, dn - (s.support - mu) - 0.5), cs.x, s.support
-  from cs join s1 s on s.item = cs.item and s.t = cs.t + 1 join mu on mu.item = s.item)
-select item::varchar as pattern, t as time, 'up' as direction, round(ru, 6) as magnitude, before, x as after from cs where ru > 4
-union all select item::varchar, t, 'down', round(rd, 6), before, x from cs where rd > 4""",
     "s8_bare_points": f"""{_PAIRS} select {NAME}, time, 'bag' as convention from (select pattern, s as time from d2, n where s >= 0 and s <= n - {W} union all select pattern, e + 1 from d2, n where e + 1 <= n - {W})
 union all select distinct array_to_string(pattern, ','), time, 'set' from (select pattern, s as time from d2 union all select pattern, e + 1 from d2, n where e + 1 < n)""",
     "f14_support_range": f"{_PAIRS} select {NAME} from sr group by sr.pattern having max(support) - min(support) >= 14",
@@ -358,18 +360,24 @@ select event_id, b::int as b, (start + off) % top as start, least((start + off)
     "a6_permutation_test": f"{_permuted('pattern, s, e')} select {NAME}, s, e, event_id, round(observed, 6) as observed, round(p_value, 6) as p_value from te",
     "a6_pooled_test": f"{_permuted('pattern')} select {NAME}, event_id, round(observed, 6) as observed, round(p_value, 6) as p_value from te",
     "a10_within_pattern": f"{_permuted('pattern')} select {NAME}, event_id, round(least(1.0, p_value * count(*) over (partition by pattern)), 6) as adjusted from te",
+    "a11_series_attribution": f"""{_permuted('pattern', _CROSSED)}, ap as (select *, least(1.0, p_value * count(*) over (partition by pattern)) as a1 from te){_BEST.format(unit='pattern')}
+select array_to_string(ap.pattern, ',') as pattern, name as event_name, time, round(observed, 6) as score, round(p_value, 6) as p_value, round(a1, 6) as adjusted
+from ap join bs on bs.pattern = ap.pattern and bs.event_id = ap.event_id and bs.r = 1 where a1 < {ALPHA}""",
     "a12_attribution": f"""{_permuted('pattern, s, e')}{_BH}{_BEST.format(unit='pattern, s, e')}
 select array_to_string(bh.pattern, ',') as pattern, bh.s as interval_start, bh.e as interval_end, time, direction, name as event_name, round(observed, 6) as score, round(p_value, 6) as p_value, round(a1, 6) as adjusted
-from bh join bs on bs.pattern = bh.pattern and bs.s = bh.s and bs.e = bh.e and bs.event_id = bh.event_id and bs.r = 1 where a1 < 0.3""",
+from bh join bs on bs.pattern = bh.pattern and bs.s = bh.s and bs.e = bh.e and bs.event_id = bh.event_id and bs.r = 1 where a1 < {ALPHA}""",
+    "a12_every_hypothesis": f"""{_permuted('pattern, s, e')}{_BH}{_BEST.format(unit='pattern, s, e')}
+select array_to_string(bh.pattern, ',') as pattern, bh.s as interval_start, bh.e as interval_end, time, direction, name as event_name, round(observed, 6) as score, round(p_value, 6) as p_value, round(a1, 6) as adjusted
+from bh join bs on bs.pattern = bh.pattern and bs.s = bh.s and bs.e = bh.e and bs.event_id = bh.event_id and bs.r = 1""",
     "a13_pooled_attribution": f"""{_permuted('pattern')}{_BH}{_BEST.format(unit='pattern')}
 select array_to_string(bh.pattern, ',') as pattern, name as event_name, time, round(observed, 6) as score, round(p_value, 6) as p_value, round(a1, 6) as adjusted
-from bh join bs on bs.pattern = bh.pattern and bs.event_id = bh.event_id and bs.r = 1 where a1 < 0.6""",
+from bh join bs on bs.pattern = bh.pattern and bs.event_id = bh.event_id and bs.r = 1 where a1 < {ALPHA}""",
     "a14_naive": f"{_SCORED} select {NAME}, event_name, time, round(score, 6) as score from (select pattern, name as event_name, time, score, row_number() over (partition by pattern, name order by s, time, direction) as r from sk) where r = 1",
     "c1_benjamini_hochberg": f"{_permuted('pattern, s, e')}{_BH} select {NAME}, s, e, event_id, round(a1, 6) as adjusted from bh",
     "c2_bonferroni": f"{_permuted('pattern, s, e')} select {NAME}, s, e, event_id, round(least(1.0, p_value * count(*) over ()), 6) as adjusted from te",
-    "g1_overlap_dedup": _ROWS + ", rows0 as (select * from ob where pattern[1] % 5 = pattern[2] % 5)," + _CLUSTER.format(test=f"len(a.pattern) = len(b.pattern) and {_SHARED} >= ceil(len(a.pattern) / 2.0)", score="score"),
-    "g2_subset_dedup": _ROWS + _TRIPLES + ", rows0 as (select * from tr where pattern[1] % 6 = 0)," + _CLUSTER.format(test=f"{_SHARED} = least(len(a.pattern), len(b.pattern))", score="score"),
-    "g4_effect_dedup": _ROWS + _TRIPLES + ", rows0 as (select * from tr where pattern[1] % 5 = pattern[2] % 5)," + _CLUSTER.format(test=f"{_SHARED} >= greatest(1, least(len(a.pattern), len(b.pattern)) // 2)", score="effect"),
+    "g1_overlap_dedup": _ROWS + ", rows0 as (select * from ob)," + _CLUSTER.format(test=f"len(a.pattern) = len(b.pattern) and {_SHARED} >= ceil(len(a.pattern) / 2.0)", score="score"),
+    "g2_subset_dedup": _ROWS + _TRIPLES + ", rows0 as (select * from tr)," + _CLUSTER.format(test=f"{_SHARED} = least(len(a.pattern), len(b.pattern))", score="score"),
+    "g4_effect_dedup": _ROWS + _TRIPLES + ", rows0 as (select * from tr)," + _CLUSTER.format(test=f"{_SHARED} >= greatest(1, least(len(a.pattern), len(b.pattern)) // 2)", score="effect"),
     "g5_components": """with recursive ed as (select c_custkey as a, c_nationkey || '/' || floor(c_acctbal / 40)::bigint as k from customer),
 lk as (select a, min(a) over (partition by k) as b from ed union all select a, a - a % 7 from ed where a > 7 and a % 3 = 0),
 bo as (select a as x, b as y from lk union select b, a from lk),

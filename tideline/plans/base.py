@@ -7,6 +7,9 @@ one return flag. External events are five stretches of the axis.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,29 @@ from tideline.durable import cut
 from tideline.operators.itemsets import dense_itemsets
 from tideline.operators.postings import dictionary, ordered_index, small
 
+T = TypeVar("T")
 #: Window and least support for mining, and for tests of events.
 MINE, TEST = (100, 8), (500, 24)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for a session and the present state of the tables: queries of one session share it."""
+    context = spark.sparkContext
+    stamp = []
+    for file in ("orders", "lineitem", "part"):
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{file}.parquet")
+        stamp.append(path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    key = (context.applicationId, sf_dir, name, *stamp)
+    if key not in _HELD:
+        for old in [k for k in _HELD if k[0] != context.applicationId or (k[1:3] == key[1:3])]:
+            del _HELD[old]
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,13 +66,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occ(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(t, basket_id, item)``, one basket per order."""
-    return cut(lines(spark, sf_dir).select("t", F.col("t").alias("basket_id"), "item").distinct())
+    return held(spark, sf_dir, "occ", lambda: cut(lines(spark, sf_dir).select("t", F.col("t").alias("basket_id"), "item").distinct()))
 
 
 def occ_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a basket for each return flag of an order; the number of a basket is 3 t + the flag's place."""
     place = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return cut(lines(spark, sf_dir).select("t", (3 * F.col("t") + place).alias("basket_id"), "item").distinct())
+    return held(spark, sf_dir, "occ_baskets", lambda: cut(lines(spark, sf_dir).select("t", (3 * F.col("t") + place).alias("basket_id"), "item").distinct()))
 
 
 def length(spark: SparkSession, sf_dir: str) -> int:
@@ -65,7 +87,7 @@ def events(spark: SparkSession, n: int) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str, setting: tuple[int, int] = TEST) -> tuple[DataFrame, DataFrame]:
     """Dense pairs and the occurrences."""
     own = occ(spark, sf_dir)
-    return cut(dense_itemsets(own, *setting, max_length=2).where("size = 2").select("pattern", "s", "e")), own
+    return held(spark, sf_dir, ("pairs", setting), lambda: cut(dense_itemsets(own, *setting, max_length=2).where("size = 2").select("pattern", "s", "e"))), own
 
 
 SQL_BASE = """

@@ -53,9 +53,11 @@ def f7_interval_intersection(spark, d):
 
 
 def f9_covering(spark, d):
+    """Runs that cover places all over the axis."""
     runs, _ = _single_runs(spark, d)
+    n = base.length(spark, d)
     own = runs.select(F.col("pattern")[0].alias("item"), "s", "e")
-    points = own.select("item").distinct().select("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1000).cast("long"), F.lit(50).cast("long"))).alias("p"))
+    points = own.select("item").distinct().select("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(max(1, n // 100)).cast("long"))).alias("p"))
     return intervals.covering(points, own, "item")
 
 
@@ -84,9 +86,9 @@ def d1_span(spark, d):
 
 
 def d2_within_ranges(spark, d):
-    """Runs of items inside three ranges of the axis."""
-    own = base.occ(spark, d).select(F.array("item").alias("pattern"), "t")
-    ranges = own.select("pattern").distinct().join(F.broadcast(spark.sql("select * from values (0L, 300L), (500L, 700L), (900L, 1300L) as t(s, e)")), F.lit(True))
+    """Runs of items inside three ranges of the axis: its first quarter, the third sixth and the last third."""
+    own, n = base.occ(spark, d).select(F.array("item").alias("pattern"), "t"), base.length(spark, d)
+    ranges = own.select("pattern").distinct().join(F.broadcast(spark.createDataFrame([(0, n // 4), (n // 3, n // 2), (2 * n // 3, n)], "s long, e long")), F.lit(True))
     return dense.runs_within(own, W, TH, ranges).select(base.text(), "s", "e")
 
 
@@ -169,13 +171,13 @@ SQL = {
     "f5_bag_projection": f"with{SQL_BASE} select a.item || ',' || b.item as pattern, a.t, count(*) as n from occb a join occb b on a.basket_id = b.basket_id and a.item < b.item group by all having count(*) > 1",
     "f6_intersection": f"with{SQL_BASE} select '0,1' as pattern, t from occb where item in (0, 1) group by t having count(distinct item) = 2 union all select '0,1,2', t from occb where item in (0, 1, 2) group by t having count(distinct item) = 3",
     "f7_interval_intersection": f"{_ONE} select a.item, greatest(a.s, b.s) as s, least(a.e, b.e) as e from d1 a join d1 b on b.item = a.item + 1 and a.s <= b.e and b.s <= a.e where least(a.e, b.e) - greatest(a.s, b.s) >= {W}",
-    "f9_covering": f"{_ONE}, p as (select item, unnest(generate_series(0, 1000, 50)) as p from (select distinct item from d1)) select p.item, p.p, d1.s, d1.e from p left join d1 on d1.item = p.item and p.p between d1.s and d1.e",
+    "f9_covering": f"{_ONE}, p as (select item, unnest(generate_series(0, n - 1, greatest(1, n // 100))) as p from (select distinct item from d1), n) select p.item, p.p, d1.s, d1.e from p left join d1 on d1.item = p.item and p.p between d1.s and d1.e",
     "f10_covered": f"{_ONE},{sql_dense('t1', 'dw', W, TH - 2, 'item')} select item, s, e, exists (select 1 from dw where dw.item = d1.item and dw.s + 5 <= d1.s and d1.e <= dw.e) as covered from d1",
     "f11_insert_merge": f"{_ONE}, al as (select item, s, e from d1 union all select item - 1, s, e from d1){_MERGED}",
     "d1_left_endpoint": f"{_ONE} select item::varchar as pattern, s, e from d1",
     "d2_scanned": f"{_ONE} select item::varchar as pattern, s, e from d1",
     "d1_span": f"with{SQL_BASE},\nt1 as (select item, t from occ),{sql_dense('t1', 'd1', W, TH + 4, 'item')} select * from (select item::varchar as pattern, (select min(t) from t1 where t1.item = d1.item and t >= d1.s) as s, (select max(t) from t1 where t1.item = d1.item and t <= d1.e + {W}) as e from d1) where e - s >= {W}",
-    "d2_within_ranges": f"{_ONE} select item::varchar as pattern, greatest(s, a) as s, least(e, b) as e from d1 join (values (0, 300), (500, 700), (900, 1300)) as r(a, b) on s <= b and a <= e",
+    "d2_within_ranges": f"{_ONE} select item::varchar as pattern, greatest(s, a) as s, least(e, b) as e from d1 join (select 0 as a, n // 4 as b from n union all select n // 3, n // 2 from n union all select 2 * n // 3, n from n) as r on s <= b and a <= e",
     "dense_brand_pairs": f"{_TWO} select {NAME}, s, e from d2",
     "m1_candidates": f"{_TWO}, l as (select distinct pattern as p from d2) select a.p[1] || ',' || a.p[2] || ',' || b.p[2] as pattern from l a join l b on a.p[1] = b.p[1] and a.p[2] < b.p[2]",
     "m2_prune": f"{_TWO}, l as (select distinct pattern as p from d2) select a.p[1] || ',' || a.p[2] || ',' || b.p[2] as pattern from l a join l b on a.p[1] = b.p[1] and a.p[2] < b.p[2] join l c on c.p[1] = a.p[2] and c.p[2] = b.p[2]",

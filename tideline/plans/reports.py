@@ -181,7 +181,8 @@ def r9_invoice_baskets(spark, d):
 def _receipts(spark, d):
     rows = base.table(spark, d, "lineitem").join(base.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
-    return rows.where(day % 5 != 0).select(F.col("l_orderkey").alias("BASKET_ID"), day.alias("DAY"), (F.col("l_partkey") % 60).alias("PRODUCT_ID"))
+    # a week's receipts count on its first day, so that most days have none
+    return rows.select(F.col("l_orderkey").alias("BASKET_ID"), (day - day % 7).alias("DAY"), (F.col("l_partkey") % 60).alias("PRODUCT_ID"))
 
 
 def r10_receipts(spark, d):
@@ -275,7 +276,7 @@ _SALES = """with sales as (select case when o_orderkey % 11 = 0 then 'C' else ''
 cl as (select * from sales where uk and not starts_with(invoice, 'C') and code is not null and code not in ('POST', 'D', 'C2', 'M', 'BANK CHARGES', 'PADS', 'DOT', 'CRUK', 'AMAZONFEE', 'S', 'ADJUST', 'B') and dt is not null and q > 0 and p > 0),
 iv as (select (row_number() over (order by dt, invoice) - 1)::bigint as t, * from (select dt, invoice, list_sort(list(distinct code)) as codes from cl group by dt, invoice))"""
 _RECEIPTS = """with rc as (select l_orderkey as b, date_diff('day', date '1990-01-01', o_orderdate::date)::int as day, l_partkey % 60 as p from lineitem join orders on l_orderkey = o_orderkey),
-r5 as (select * from rc where day % 5 <> 0),
+r5 as (select * replace (day - day % 7 as day) from rc),
 re as (select (row_number() over (order by day, basket) - 1)::bigint as t, * from (select b::varchar as basket, max(day) as day, list_sort(list(distinct p)) as codes from r5 group by b))"""
 
 SQL = {
