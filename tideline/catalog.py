@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tideline.plans import attribution, mining, reports
+from tideline.plans import attribution, data, mining, reports
 
-MODULES = (mining, attribution, reports)
+MODULES = (mining, attribution, reports, data)
 
 
 def queries() -> dict:

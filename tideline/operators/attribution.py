@@ -113,8 +113,9 @@ def offsets(spark, permutations: int, top: int, seed: int | None = None) -> Data
 
 
 def own_offset(unit: Sequence[str], b: Column, top: int, seed: int) -> Column:
-    """The shift of a hypothesis (``unit`` and event) with its own random numbers: a hash of its name, the seed and ``b``."""
-    return 1 + F.pmod(F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in unit), F.col("event_id"), b), F.lit(top - 1))
+    """The shift of a hypothesis (``unit`` and event) with its own random numbers: 52 bits of an MD5 sum of its name, the seed and ``b``."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in unit), F.col("event_id"), b.cast("string")))
+    return 1 + F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % F.lit(top - 1)
 
 
 def permutation_test(points: DataFrame, events: DataFrame, top: int, sigma: float, *, permutations: int = 1000, unit: tuple[str, ...] = ("pattern", "s", "e"), seed: int | None = None, independent: bool = False, normalisation: str = "sqrt", ablation: str | None = None, threshold: float = 0.1) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.durable import cut
 from tideline.operators.correction import benjamini_hochberg
 from tideline.operators.intervals import merge, overlap
+from tideline.operators.postings import small
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -30,7 +32,7 @@ def _compared(predicted: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
 def with_ids(predicted: DataFrame, events: DataFrame) -> DataFrame:
     """Event names to ids, the last id of a repeated name; an unknown name stays as it is."""
     ids = events.groupBy(F.col("name").alias("event_name")).agg(F.max("event_id").alias("__id"))
-    return predicted.join(F.broadcast(ids), "event_name", "left").withColumn("event_id", F.coalesce("__id", "event_name")).drop("__id")
+    return predicted.join(small(cut(ids)), "event_name", "left").withColumn("event_id", F.coalesce("__id", "event_name")).drop("__id")
 
 
 def intervals_and_events(predicted: DataFrame, truth: DataFrame, events: DataFrame) -> DataFrame:

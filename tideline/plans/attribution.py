@@ -159,6 +159,20 @@ def a13_pooled_attribution(spark, d):
     return _rounded(rows.select(base.text(), "event_name", "time", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
+def a7_independent(spark, d):
+    """Every hypothesis with shifts of its own."""
+    points, events, n = _points(spark, d)
+    tested = attribution.permutation_test(points, events, support.positions(W, n), SIGMA, permutations=SHIFTS, unit=("pattern",), seed=5, independent=True)
+    return _rounded(tested.select(base.text(), "event_id", "observed", "p_value"), "observed", "p_value")
+
+
+def g3_p_dedup(spark, d):
+    """Pairs of a pattern and event, de-duplicated by their adjusted p: by overlap, then by subsets."""
+    tested, _, events = _tested(spark, d, ("pattern",))
+    rows = correction.benjamini_hochberg(tested).join(F.broadcast(events), "event_id").select("pattern", F.col("name").alias("event_name"), F.round("adjusted", 9).alias("adjusted"))
+    return _rounded(dedup.by_p(cut(rows)).select(base.text(), "event_name", "adjusted"), "adjusted")
+
+
 def a14_naive(spark, d):
     points, events, _ = _points(spark, d)
     return _rounded(attribution.naive(points, events, SIGMA).select(base.text(), "event_name", "time", "score"), "score")
@@ -260,7 +274,7 @@ def z1_relations(spark, d):
     return relations.relations(found, events, 100, 150).select(base.text(), "s", "e", "event_id", "relation", "overlap")
 
 
-QUERIES = [s1_support_series, s3_probe, s4_change_points, s5_threshold_crossings, s6_cusum, s8_bare_points, f14_support_range, f15_sampled_range, f16_strong_points, a3_scores, a3_ablations, a4_observed, a5_shifts, a6_permutation_test, a6_pooled_test, a10_within_pattern, a11_series_attribution, a12_attribution, a12_every_hypothesis, a13_pooled_attribution, a14_naive, c1_benjamini_hochberg, c2_bonferroni, g1_overlap_dedup, g2_subset_dedup, g4_effect_dedup, g5_components, g6_best_per_pair, b1_mann_whitney, b3_causal_impact, b4_interrupted, b6_event_study, b7_coincidence, b8_contrast, b10_finished, z1_relations]
+QUERIES = [s1_support_series, s3_probe, s4_change_points, s5_threshold_crossings, s6_cusum, s8_bare_points, f14_support_range, f15_sampled_range, f16_strong_points, a3_scores, a3_ablations, a4_observed, a5_shifts, a6_permutation_test, a7_independent, a6_pooled_test, a10_within_pattern, a11_series_attribution, a12_attribution, a12_every_hypothesis, a13_pooled_attribution, a14_naive, c1_benjamini_hochberg, c2_bonferroni, g1_overlap_dedup, g2_subset_dedup, g3_p_dedup, g4_effect_dedup, g5_components, g6_best_per_pair, b1_mann_whitney, b3_causal_impact, b4_interrupted, b6_event_study, b7_coincidence, b8_contrast, b10_finished, z1_relations]
 
 # --- SQL -------------------------------------------------------------------
 
@@ -288,7 +302,16 @@ x as (select *, support >= {TH} as now, coalesce(lag(support >= {TH}) over (part
 cp as (select pattern, null::bigint as s, null::bigint as e, t as time, case when now then 'up' else 'down' end as direction, before, after, greatest(1.0, case when now then after - before else before - after end) as magnitude from x where now <> was)""" + _SCORING
 
 
-def _permuted(unit: str, scored: str = _SCORED) -> str:
+def _permuted(unit: str, scored: str = _SCORED, own: str | None = None) -> str:
+    """Hypotheses ``te`` with their p; ``own``: the shift of a hypothesis by itself instead of a sweep for all."""
+    if own:
+        return scored + f""",
+ob as (select {unit}, event_id, round(sum(score), 9) as observed from sk group by {unit}, event_id),
+sf as (select {unit}, event_id, b, top, 1 + {own} % (top - 1) as off from ob, mp, (select unnest(generate_series(0, {SHIFTS - 1})) as b)),
+mv as (select {unit}, event_id, b, (start + off) % top as start, least((start + off) % top + "end" - start, top - 1) as "end" from ev join sf using (event_id)),
+ps as (select {unit}, event_id, b, round(sum(score), 9) as sm from (select {unit}, event_id, b, round({_NEAR} * (magnitude / sqrt(greatest(1.0, before))), 9) as score from cp join mv using ({unit})) where score >= 0.1 group by {unit}, event_id, b),
+cn as (select {unit}, event_id, count(*) as k from ps join ob using ({unit}, event_id) where sm >= observed group by {unit}, event_id),
+te as (select {unit}, event_id, observed, (coalesce(k, 0) + 1) / {SHIFTS + 1}.0::double as p_value from ob left join cn using ({unit}, event_id))"""
     return scored + f""",
 ob as (select {unit}, event_id, round(sum(score), 9) as observed from sk group by {unit}, event_id),
 sf as (select b, 1 + (b * 7919 + 104729) % (top - 1) as off, top from mp, (select unnest(generate_series(0, {SHIFTS - 1})) as b)),
@@ -298,6 +321,7 @@ cn as (select {unit}, event_id, count(*) as k from ps join ob using ({unit}, eve
 te as (select {unit}, event_id, observed, (coalesce(k, 0) + 1) / {SHIFTS + 1}.0::double as p_value from ob left join cn using ({unit}, event_id))"""
 
 
+_OWN = "('0x' || substr(md5(concat_ws('|', '5', pattern::varchar, event_id, b)), 1, 13))::bigint"
 _BH = """,
 rk as (select *, row_number() over (order by p_value) as rn, count(*) over () as m from te),
 ad as (select *, min(least(1.0, p_value * m / rn)) over (order by rn desc rows unbounded preceding) as adjusted from rk),
@@ -359,6 +383,7 @@ select {NAME}, time, event_id, kind, round(score, 6) as score from z where score
 select event_id, b::int as b, (start + off) % top as start, least((start + off) % top + "end" - start, top - 1) as "end" from ev, sf""",
     "a6_permutation_test": f"{_permuted('pattern, s, e')} select {NAME}, s, e, event_id, round(observed, 6) as observed, round(p_value, 6) as p_value from te",
     "a6_pooled_test": f"{_permuted('pattern')} select {NAME}, event_id, round(observed, 6) as observed, round(p_value, 6) as p_value from te",
+    "a7_independent": f"{_permuted('pattern', own=_OWN)} select {NAME}, event_id, round(observed, 6) as observed, round(p_value, 6) as p_value from te",
     "a10_within_pattern": f"{_permuted('pattern')} select {NAME}, event_id, round(least(1.0, p_value * count(*) over (partition by pattern)), 6) as adjusted from te",
     "a11_series_attribution": f"""{_permuted('pattern', _CROSSED)}, ap as (select *, least(1.0, p_value * count(*) over (partition by pattern)) as a1 from te){_BEST.format(unit='pattern')}
 select array_to_string(ap.pattern, ',') as pattern, name as event_name, time, round(observed, 6) as score, round(p_value, 6) as p_value, round(a1, 6) as adjusted
@@ -377,6 +402,12 @@ from bh join bs on bs.pattern = bh.pattern and bs.event_id = bh.event_id and bs.
     "c2_bonferroni": f"{_permuted('pattern, s, e')} select {NAME}, s, e, event_id, round(least(1.0, p_value * count(*) over ()), 6) as adjusted from te",
     "g1_overlap_dedup": _ROWS + ", rows0 as (select * from ob)," + _CLUSTER.format(test=f"len(a.pattern) = len(b.pattern) and {_SHARED} >= ceil(len(a.pattern) / 2.0)", score="score"),
     "g2_subset_dedup": _ROWS + _TRIPLES + ", rows0 as (select * from tr)," + _CLUSTER.format(test=f"{_SHARED} = least(len(a.pattern), len(b.pattern))", score="score"),
+    "g3_p_dedup": f"""{_permuted('pattern')}{_BH}, rw as (select *, row_number() over () as id from (select pattern, name as event_name, round(a1, 9) as adjusted from bh join ev using (event_id))),
+eg as (select a.id as x, b.id as y from rw a join rw b on a.event_name = b.event_name and a.id <> b.id and {_SHARED} >= 1),
+rc(x, y) as (select id, id from rw union select rc.x, eg.y from rc join eg on rc.y = eg.x),
+cc as (select x as id, min(y) as c from rc group by x),
+bt as (select pattern, event_name, adjusted, row_number() over (partition by c order by adjusted, pattern) as r from rw join cc using (id))
+select {NAME}, event_name, round(adjusted, 6) as adjusted from bt where r = 1""",
     "g4_effect_dedup": _ROWS + _TRIPLES + ", rows0 as (select * from tr)," + _CLUSTER.format(test=f"{_SHARED} >= greatest(1, least(len(a.pattern), len(b.pattern)) // 2)", score="effect"),
     "g5_components": """with recursive ed as (select c_custkey as a, c_nationkey || '/' || floor(c_acctbal / 40)::bigint as k from customer),
 lk as (select a, min(a) over (partition by k) as b from ed union all select a, a - a % 7 from ed where a > 7 and a % 3 = 0),

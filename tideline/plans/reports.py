@@ -12,12 +12,12 @@ from tideline.plans.base import NAME, SQL_BASE
 from tideline.sources import readers, retail, sinks, synthetic
 
 W, TH = at.W, at.TH
-CONFIG = pipeline.Config(window=W, theta=TH, permutations=at.SHIFTS, alpha=0.3)
+CONFIG = pipeline.Config(window=W, theta=TH, permutations=at.SHIFTS, alpha=at.ALPHA, unit="pattern")
 
 
 def _attributed(spark, d):
     found, _, events, n, own = at._given(spark, d)
-    return cut(pipeline.attribute(found, own, events, n, CONFIG)), found, events, own
+    return base.held(spark, d, "attributed", lambda: cut(pipeline.attribute(found, own, events, n, CONFIG))), found, events, own
 
 
 def _truth(found, events):
@@ -240,31 +240,13 @@ def y4_zipf(spark, d):
     return at._rounded(synthetic.zipf_chances(spark, 200), "p", digits=9)
 
 
-def y1_synthetic(spark, d):
-    """A generated scenario, mined: dense pairs of the tiny and of the beta scenario."""
-    out = []
-    for name, scenario, setting in (("tiny", synthetic.tiny(), (5, 2)), ("beta", synthetic.beta(0.5), (50, 12))):
-        own = synthetic.occurrences(spark, scenario).select("t", F.col("t").alias("basket_id"), "item")
-        out.append(itemsets.dense_itemsets(cut(own), *setting, max_length=2).where("size = 2").select(F.lit(name).alias("scenario"), base.text(), "s", "e"))
-    return out[0].unionByName(out[1])
-
-
-def y7_injection(spark, d):
-    """Planted brands in real orders: how many transactions each brand is in, inside the event and outside."""
-    own = base.occ(spark, d)
-    n = base.length(spark, d)
-    event = synthetic.Planted((3, 11), "E1", "event_1", n // 4, n // 2, 2.0)
-    made = synthetic.injected(own, [event])
-    return made.groupBy("item", F.col("t").between(event.start, event.end).alias("inside")).agg(F.count("*").alias("n"))
-
-
-QUERIES = [e1_interval_evaluation, e2_pair_evaluation, e3_false_attribution, e4_means, e5_confidence, e6_null_discoveries, e7_coupon_consistency, e7_consistency_rate, e7_named_items, e8_top_per_event, e9_funnel, e10_range_sweep, e11_counts_below, e11_lowest, e12_ranked_tests, e12_alpha_sweep, e13_histogram, e14_random_match, e15_jaccard, w5_report, w6_attribution_rows, r5_parsed_numbers, r8_clean, r9_invoice_baskets, r10_receipts, r11_days, r12_date_ranges, r13_day_ranges, r14_campaign_names, r15_metadata, r7_encoded_items, r1_basket_lines, y1_synthetic, y2_ground_truth, y4_zipf, y7_injection]
+QUERIES = [e1_interval_evaluation, e2_pair_evaluation, e3_false_attribution, e4_means, e5_confidence, e6_null_discoveries, e7_coupon_consistency, e7_consistency_rate, e7_named_items, e8_top_per_event, e9_funnel, e10_range_sweep, e11_counts_below, e11_lowest, e12_ranked_tests, e12_alpha_sweep, e13_histogram, e14_random_match, e15_jaccard, w5_report, w6_attribution_rows, r5_parsed_numbers, r8_clean, r9_invoice_baskets, r10_receipts, r11_days, r12_date_ranges, r13_day_ranges, r14_campaign_names, r15_metadata, r7_encoded_items, r1_basket_lines, y2_ground_truth, y4_zipf]
 
 _TRUTH = """,
 gt as (select pattern, event_id, arg_max({s: s, e: e}, (e - s) * 1000000 - s) as x from d2, ev where s <= "end" and e >= start and (pattern[1] + pattern[2]) % 2 = 0 group by pattern, event_id)"""
-_ATTRIBUTED = at._permuted("pattern, s, e") + at._BH + at._BEST.format(unit="pattern, s, e") + """,
-att as (select bh.pattern, bh.s, bh.e, bs.time, bs.direction, bh.event_id, ev.name, ev.start, ev."end", observed as score, p_value, a1 as adjusted
-from bh join bs on bs.pattern = bh.pattern and bs.s = bh.s and bs.e = bh.e and bs.event_id = bh.event_id and bs.r = 1 join ev on ev.event_id = bh.event_id where a1 < 0.3)""" + _TRUTH
+_ATTRIBUTED = at._permuted("pattern") + at._BH + at._BEST.format(unit="pattern") + f""",
+att as (select bh.pattern, bs.s, bs.e, bs.time, bs.direction, bh.event_id, ev.name, ev.start, ev."end", observed as score, p_value, a1 as adjusted
+from bh join bs on bs.pattern = bh.pattern and bs.event_id = bh.event_id and bs.r = 1 join ev on ev.event_id = bh.event_id where a1 < {at.ALPHA})""" + _TRUTH
 _RATES = """select tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from
 (select *, case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as p, case when tp + fn > 0 then tp / (tp + fn)::double else 0 end as r from
 (select count(*) filter (a and g) as tp, count(*) filter (a and not g) as fp, count(*) filter (g and not a) as fn from (select bool_or(k = 1) as a, bool_or(k = 2) as g from ({0}) group by {1})))"""

@@ -60,9 +60,10 @@ class Scenario:
 
 
 def uniform(seed: int, *parts: Column | str | int) -> Column:
-    """A number in [0, 1) by hash of the seed and parts."""
-    columns = [F.lit(p) if isinstance(p, (int, str)) and not isinstance(p, Column) else p for p in parts]
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) * F.lit(2.0**-53)
+    """A number in [0, 1) by hash of the seed and parts: the first 52 bits of an MD5 sum, which SQL can repeat."""
+    columns = [p if isinstance(p, Column) else F.lit(p) for p in (seed, *parts)]
+    digest = F.md5(F.concat_ws("|", *(c.cast("string") for c in columns)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") * F.lit(2.0**-52)
 
 
 def zipf_chances(spark: SparkSession, items: int, alpha: float = 1.0, median: float = 0.03, most: float = 0.10) -> DataFrame:
