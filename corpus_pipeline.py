@@ -2,23 +2,47 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs; all but the last return the
-columns of ``documents``.
+columns of ``documents``. A stage that begins deletes the tables that the stage
+before it, which is written by then, has stored on the way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.durable import delete, shared_folder, temporary
+from tideline.durable import delete, shared_folder, tables, temporary
 from tideline.llm import binary, decontaminate, mixing, quality, simhash
 from tideline.llm.catalog import tokenizer
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Equal stretches of the training order in which sequences are permuted; from one to the next the order of the curriculum holds.
 PHASES = 64
 
 
+#: Tables that stages have stored, by the stage and the application.
+_STORED: dict[tuple[str, str], list[str]] = {}
+
+
+def _after(before: str | None, stage: Stage) -> Stage:
+    """The stage, which first deletes what the one ``before`` it has stored."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = spark.sparkContext.applicationId
+        for path in _STORED.pop((own, before), ()):
+            delete(spark, path)
+        with tables() as held:
+            out = stage(spark, docs, sf_dir)
+        _STORED.setdefault((own, stage.__name__), []).extend(held)
+        return out
+
+    return run_stage
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word that the repetition rule and the robust outlier test keep; short ones are judged by the test like any other."""
     return quality.keep_good(docs, min_words=1)
@@ -45,11 +69,11 @@ def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near-dedup", simhash_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mix_sources),
-    ("binary output", token_shards),
+    ("quality rules", _after(None, quality_rules)),
+    ("near-dedup", _after("quality_rules", simhash_dedup)),
+    ("decontamination", _after("simhash_dedup", decontamination)),
+    ("mixing", _after("decontamination", mix_sources)),
+    ("binary output", _after("mix_sources", token_shards)),
 ]
 #: Robust estimates, fingerprints, alignments and tokens have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -46,13 +46,12 @@ def test_dense_runs_match_the_definition(spark, w, th):
     assert got == {(k, *x) for k, ts in groups.items() for x in spans(ts, w, th)}
 
 
-def test_dense_examples(spark):
-    one, two = [5, 5, 5, 5, 5, 8, 12], [5, 5, 5, 5, 5, 8, 12, 16]
-    frame = times(spark, {"one": one, "two": two})
-    assert {tuple(r) for r in dense.runs(frame, 10, 3).collect()} == {("one", -5, 5), ("two", -5, 8)}
-    assert ("two", 5, 16) in {tuple(r) for r in dense.runs(frame, 10, 3, convention="span").collect()}
-    with pytest.raises(ValueError):
-        dense.runs(frame, 0, 3)
+def test_one_heavy_transaction_is_dense_wherever_a_window_holds_it(spark):
+    frame = times(spark, {"heavy": [40] * 6, "pair": [40, 46], "apart": [40, 47]})
+    assert {tuple(r) for r in dense.runs(frame, 6, 2).collect()} == {("heavy", 34, 40), ("pair", 40, 40)}
+    for w, th in ((0, 2), (6, 0)):
+        with pytest.raises(ValueError):
+            dense.runs(frame, w, th)
 
 
 def test_scan_agrees_with_runs_where_nothing_is_counted_twice(spark):
@@ -61,7 +60,6 @@ def test_scan_agrees_with_runs_where_nothing_is_counted_twice(spark):
         ts = sorted(draw.sample(range(80), draw.randint(0, 40)))
         whole = [(ts[0], ts[-1])] if ts else []
         assert dense.scan(ts, 6, 3, whole) == left_ends(ts, 6, 3)
-    assert dense.scan([5, 5, 5, 5, 5, 8, 12, 16], 10, 3, [(5, 16)], "span") == [(5, 16)]
     # the second run begins inside the span of the first, and starts after it
     assert dense.scan([0, 1, 2, 9, 10, 11], 5, 2, [(0, 11)], "span") == [(0, 2), (9, 11)]
     frame = times(spark, {"a": [0, 1, 2, 9, 10, 11], "b": [3]})
@@ -145,37 +143,80 @@ def test_interval_algebra(spark):
     assert tuple(spark.range(1).select(intervals.first_at_least(array, F.lit(3)), intervals.first_above(array, F.lit(3))).first()) == (1, 3)
 
 
-def test_support_series(spark):
-    def run(ts, w, n):
-        frame = times(spark, {"x": ts})
-        patterns = spark.createDataFrame([("x",)], "pattern string")
-        return [r.support for r in support.series(frame, patterns, w, n).orderBy("t").collect()]
-
-    assert run([0, 1, 2], 3, 5) == [3, 2, 1]
-    assert run([2], 3, 5) == [1, 1, 1]
-    assert run([0], 10, 5) == []
-    assert run([], 3, 10) == [0] * 8
-    assert run([0, 2, 4], 1, 5) == [1, 0, 1, 0, 1]
-    asked = spark.createDataFrame([("x", t) for t in (0, 1, 5, 8, 11)], "pattern string, t long")
-    got = {r.t: r.support for r in support.probe(times(spark, {"x": [0, 1, 2, 5, 6, 7, 10]}), asked, 3).collect()}
-    assert got == {0: 3, 1: 2, 5: 3, 8: 1, 11: 0}
-
-
-def series_of(spark, values):
-    return spark.createDataFrame([("x", t, v) for t, v in enumerate(values)], "pattern string, t long, support long")
-
-
-def test_change_points(spark):
-    frame = spark.createDataFrame([("x", 5, 15)], "pattern string, s long, e long")
-    points = changes.from_intervals(frame, times(spark, {"x": list(range(5, 16))}), 3, 100).orderBy("time").collect()
-    assert [(p.time, p.direction) for p in points] == [(5, "up"), (16, "down")]
-    crossing = lambda v: [(r.time, r.direction, r.before) for r in changes.threshold_crossings(series_of(spark, v), 2).orderBy("time").collect()]
-    assert [d for _, d, _ in crossing([0, 3, 0, 4, 0])] == ["up", "down", "up", "down"]
-    assert crossing([3, 3, 0])[0] == (0, "up", 0.0)
-    alarms = lambda v: [r.direction for r in changes.cusum(series_of(spark, v)).collect()]
-    assert alarms([3] * 5) == [] and "up" in alarms([0] * 10 + [10] * 10) and "down" in alarms([10] * 10 + [0] * 10)
+def supports(ts, w, n):
+    """The series by definition."""
+    return [sum(t <= x < t + w for x in ts) for t in range(max(0, n - w + 1))]
+
+
+def test_support_series_by_definition(spark):
+    draw = random.Random(31)
+    own = {f"p{k}": sorted(draw.choices(range(90), k=draw.randint(0, 40))) for k in range(8)} | {"late": [89], "none": []}
+    patterns = spark.createDataFrame([(k,) for k in own], "pattern string")
+    for w, n in ((1, 90), (7, 90), (90, 90), (91, 90), (12, 91)):
+        for block in (support.BLOCK, 16):
+            found = {}
+            for r in support.steps(times(spark, own), patterns, w, n, block=block).collect():
+                for t in range(r.a, r.b + 1):
+                    assert (r.pattern, t) not in found
+                    found[r.pattern, t] = r.support
+            assert found == {(k, t): v for k, ts in own.items() for t, v in enumerate(supports(ts, w, n))}
+        assert {(r.pattern, r.t): r.support for r in support.series(times(spark, own), patterns, w, n).collect()} == found
+    asked = [(k, t) for k in own for t in (0, 3, 44, 88, 200)]
+    got = {(r.pattern, r.t): r.support for r in support.probe(times(spark, own), spark.createDataFrame(asked, "pattern string, t long"), 9).collect()}
+    assert got == {(k, t): sum(t <= x < t + 9 for x in own[k]) for k, t in asked}
+
+
+def test_change_points_by_definition(spark):
+    draw = random.Random(32)
+    own = {f"p{k}": sorted(draw.choices(range(10 * k, 10 * k + 120), k=60)) for k in range(6)}
+    frame, patterns = times(spark, own), spark.createDataFrame([(k,) for k in own], "pattern string")
+    w, n, level = 9, 190, 5
+    series = {k: supports(ts, w, n) for k, ts in own.items()}
+    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+    sides = lambda v, t: (mean(v[max(0, t - level) : t]), mean(v[t : t + level]))
+
+    def rounded(rows):
+        return sorted((r.pattern, r.time, r.direction, round(r.magnitude, 6), round(r.before, 6), round(r.after, 6)) for r in rows)
+
+    expected = []
+    for k, v in series.items():
+        for t, x in enumerate(v):
+            if (x >= 5) != (t > 0 and v[t - 1] >= 5):
+                before, after = sides(v, t)
+                expected.append((k, t, "up" if x >= 5 else "down", round(max(1.0, (after - before) * (1 if x >= 5 else -1)), 6), round(before, 6), round(after, 6)))
+    for block in (support.BLOCK, 24):
+        assert rounded(changes.threshold_crossings(frame, patterns, w, n, 5, level, block=block).collect()) == sorted(expected) and len(expected) > 30
+    spans = [(k, 20 + 7 * i, 30 + 11 * i) for i, k in enumerate(own)]
+    expected = []
+    for k, a, b in spans:
+        for t, name, sign in ((a, "up", 1), (b + 1, "down", -1)):
+            before, after = sides(series[k], t)
+            expected.append((k, t, name, round(max(1.0, sign * (after - before)), 6), round(before, 6), round(after, 6)))
+    assert rounded(changes.from_intervals(spark.createDataFrame(spans, "pattern string, s long, e long"), frame, w, n, level).collect()) == sorted(expected)
     with pytest.raises(ValueError):
-        changes.detect(series_of(spark, [1]), "other")
+        changes.detect(frame, patterns, w, n, "other")
+
+
+def test_cusum_against_the_plain_fold(spark, monkeypatch):
+    draw = random.Random(33)
+    own = {f"p{k}": sorted(draw.choices(range(40 * k, 40 * k + 200), k=draw.choice((5, 80)))) for k in range(5)} | {"none": [], "flat": list(range(400))}
+    patterns = spark.createDataFrame([(k,) for k in own], "pattern string")
+    for w, n, drift, bound in ((6, 400, 0.5, 4.0), (30, 400, 0.25, 2.5), (1, 400, 0.0, 0.5), (400, 400, 0.5, 4.0)):
+        expected = []
+        for k, ts in own.items():
+            v = supports(ts, w, n)
+            mean, up, down, last = sum(v) / len(v), 0.0, 0.0, 0.0
+            for t, x in enumerate(v if len(v) > 1 else ()):
+                up, down = max(0.0, up + x - mean - drift), max(0.0, down - x + mean - drift)
+                if round(up, 9) > bound:
+                    expected.append((k, t, "up", round(up, 5), last, float(x)))
+                    up = 0.0
+                if round(down, 9) > bound:
+                    expected.append((k, t, "down", round(down, 5), last, float(x)))
+                    down = 0.0
+                last = float(x)
+        got = sorted((r.pattern, r.time, r.direction, round(r.magnitude, 5), r.before, r.after) for r in changes.cusum(times(spark, own), patterns, w, n, drift, bound).collect())
+        assert got == sorted(expected) and (len(got) > 10 or w == 400)
 
 
 def test_readers(spark, tmp_path):

@@ -1,5 +1,6 @@
 """Attribution, baselines, corrections, de-duplication, evaluation, data and sinks."""
 
+import hashlib
 import math
 import random
 
@@ -14,21 +15,40 @@ from tideline.streaming import dense as stream
 EVENT = "event_id string, name string, start long, end long"
 
 
-def test_proximity_and_score(spark):
-    one = spark.range(1)
-    near = lambda t, s: one.select(attribution.proximity(F.lit(t), F.lit(5), F.lit(10), s)).first()[0]
-    assert near(8, 3) == pytest.approx(math.exp(-2 / 3)) and near(5, 0) == 1.0 and near(6, 0) == 0.0
-    points = spark.createDataFrame([([1, 2], 0, 9, 5, "up", 3.0, 0.0, 3.0), ([3, 4], 0, 9, 5, "up", 0.001, 0.0, 0.0)], "pattern array<long>, s long, e long, time long, direction string, magnitude double, before double, after double")
-    events = spark.createDataFrame([("E", "e", 5, 10)], EVENT)
-    rows = attribution.score(points, events, 5.0, normalisation="none").collect()
-    assert [(r.pattern, r.score) for r in rows] == [([1, 2], 3.0)]
-    with pytest.raises(ValueError):
-        attribution.score(points, events, 5.0, ablation="no_name")
-
-
-def test_shift(spark):
-    at = lambda s, e, o, n: tuple(spark.range(1).select(*attribution.shifted(F.lit(s), F.lit(e), F.lit(o), n)).first())
-    assert at(15, 19, 3, 20) == (18, 19) and at(10, 15, 95, 100) == (5, 10)
+POINTS = "pattern array<long>, s long, e long, time long, direction string, magnitude double, before double, after double"
+
+
+def test_scores_by_definition(spark):
+    draw = random.Random(41)
+    points = [([k], 0, 0, draw.randrange(400), "up", draw.choice((1.0, 2.5, 40.0, 0.01)), draw.choice((0.0, 0.5, 9.0)), 0.0) for k in range(40)]
+    events = [(f"E{k}", f"e{k}", a := draw.randrange(350), a + draw.randrange(60)) for k in range(7)]
+    frame, held = spark.createDataFrame(points, POINTS), spark.createDataFrame(events, EVENT)
+    for sigma in (0.0, 0.4, 20.0, 300.0):
+        for mode in attribution.NORMALISATIONS:
+            for ablation in (None, "no_prox", "no_mag"):
+                expected = {}
+                for p in points:
+                    for i, _, a, b in events:
+                        away = min(abs(p[3] - a), abs(p[3] - b))
+                        near = math.exp(-away / sigma) if sigma else float(away == 0)
+                        weight = p[5] / {"none": 1, "sqrt": math.sqrt(max(1, p[6])), "full": max(1, p[6])}[mode]
+                        value = round({None: near * weight, "no_prox": weight, "no_mag": near}[ablation], 9)
+                        if value >= 0.1:
+                            expected[p[0][0], i] = value
+                got = {(r.pattern[0], r.event_id): r.score for r in attribution.score(frame, held, sigma, normalisation=mode, ablation=ablation).collect()}
+                assert got == pytest.approx(expected) and (expected or sigma < 1)
+    for wrong in ({"ablation": "no_name"}, {"normalisation": "cube"}, {"threshold": 0}):
+        with pytest.raises(ValueError):
+            attribution.score(frame, held, 5.0, **wrong)
+    assert attribution.score(frame, held.limit(0), 5.0).count() == 0 == attribution.score(frame.limit(0), held, 5.0).count()
+
+
+def test_shifts_by_definition(spark):
+    rows = [(s, s + w, o) for s in (0, 7, 29) for w in (0, 4, 11) for o in (1, 12, 29)]
+    frame = spark.createDataFrame(rows, "s long, e long, o long")
+    begin, end = attribution.shifted(F.col("s"), F.col("e"), F.col("o"), 30)
+    got = {(r.s, r.e, r.o): (r.x, r.y) for r in frame.select("*", begin.alias("x"), end.alias("y")).collect()}
+    assert got == {(s, e, o): ((s + o) % 30, min((s + o) % 30 + e - s, 29)) for s, e, o in rows}
 
 
 def test_permutation_matches_brute_force(spark):
@@ -53,23 +73,73 @@ def test_permutation_matches_brute_force(spark):
                 expected[p, i] = (1 + sum(m is not None and m >= seen for m in moved)) / 41
     assert got == pytest.approx(expected)
     assert attribution.permutation_test(frame, spark.createDataFrame(events, EVENT), 1, 10.0).count() == 0
+    # every hypothesis with shifts of its own
+    own = {(r.pattern, r.event_id): r.p_value for r in attribution.permutation_test(frame, spark.createDataFrame(events, EVENT), 100, 10.0, permutations=40, unit=("pattern",), seed=7, independent=True).collect()}
+    expected = {}
+    for p, i in got:
+        a, b = next((a, b) for j, _, a, b in events if j == i)
+        offsets = [1 + int(hashlib.md5(f"7|{p}|{i}|{k}".encode()).hexdigest()[:13], 16) % 99 for k in range(40)]
+        moved = [total(p, (a + o) % 100, min((a + o) % 100 + b - a, 99)) for o in offsets]
+        expected[p, i] = (1 + sum(m is not None and m >= total(p, a, b) for m in moved)) / 41
+    assert own == pytest.approx(expected)
+    same = attribution.permutation_test(frame, spark.createDataFrame(events, EVENT), 100, 10.0, permutations=40, unit=("pattern",), seed=7, ablation="no_prox").collect()
+    assert same and {r.p_value for r in same} == {1.0}
+
+
+def adjusted_by_definition(ps):
+    """For each p, the least of q * m / (number of values up to q) over all q of p or more, 1 at most."""
+    return [min(1.0, min(q * len(ps) / sum(x <= q for x in ps) for q in ps if q >= p)) for p in ps]
 
 
-def test_corrections(spark):
-    ps = [0.01, 0.04, 0.03, 0.20, 0.50]
-    rows = spark.createDataFrame([(p,) for p in ps], "p_value double")
-    got = [r.adjusted for r in correction.benjamini_hochberg(rows).orderBy("p_value").collect()]
-    assert got == pytest.approx([0.05, 0.2 / 3, 0.2 / 3, 0.25, 0.5])
-    got = [r.adjusted for r in correction.bonferroni(rows).orderBy("p_value").collect()]
-    assert got == pytest.approx([0.05, 0.15, 0.2, 1.0, 1.0])
+def test_corrections_by_definition(spark):
     draw = random.Random(2)
-    many = [round(draw.random(), 1) for _ in range(60)]
-    got = sorted(r.adjusted for r in correction.benjamini_hochberg(spark.createDataFrame([(p,) for p in many], "p_value double")).collect())
-    best, out = 1.0, []
-    for i, p in reversed(list(enumerate(sorted(many), 1))):
-        best = min(best, p * 60 / i)
-        out.append(best)
-    assert got == pytest.approx(sorted(out))
+    rows = [(g, round(draw.random() ** 2, places)) for g, n, places in (("a", 60, 1), ("b", 1, 3), ("c", 300, 7)) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "g string, p_value double").repartition(5)
+    own = {g: [p for h, p in rows if h == g] for g in "abc"}
+    expected = sorted((g, p, q) for g, ps in own.items() for p, q in zip(ps, adjusted_by_definition(ps)))
+    got = sorted((r.g, r.p_value, r.adjusted) for r in correction.benjamini_hochberg(frame, "p_value", "g").collect())
+    assert [x[:2] for x in got] == [x[:2] for x in expected] and [x[2] for x in got] == pytest.approx([x[2] for x in expected])
+    every = [p for _, p in rows]
+    got = sorted((r.p_value, r.adjusted) for r in correction.benjamini_hochberg(frame).collect())
+    assert [x[1] for x in got] == pytest.approx([q for _, q in sorted(zip(every, adjusted_by_definition(every)))])
+    got = sorted((r.g, r.adjusted) for r in correction.bonferroni(frame, "p_value", "g").collect())
+    assert [x[1] for x in got] == pytest.approx([q for _, q in sorted((g, min(1.0, p * len(own[g]))) for g, p in rows)])
+    assert correction.benjamini_hochberg(frame.limit(0)).count() == 0
+
+
+def clusters(rows, linked):
+    """The components of linked rows, as lists of places."""
+    left, out = set(range(len(rows))), []
+    while left:
+        todo = [left.pop()]
+        group = list(todo)
+        while todo:
+            a = todo.pop()
+            near = {b for b in left if rows[a][1] == rows[b][1] and linked(set(rows[a][0]), set(rows[b][0]))}
+            left -= near
+            group += near
+            todo += near
+        out.append(group)
+    return out
+
+
+@pytest.mark.parametrize("longest", [12, 2])
+def test_dedup_by_definition(spark, monkeypatch, longest):
+    monkeypatch.setattr(dedup, "LONGEST", longest)
+    draw = random.Random(51)
+    rows = {(tuple(sorted(draw.sample(range(14), draw.randint(1, 6)))), draw.choice("EF")) for _ in range(70)}
+    rows = [(list(p), e, round(draw.random(), 3)) for p, e in sorted(rows)]
+    frame = spark.createDataFrame(rows, "pattern array<long>, event_name string, score double")
+    better = [F.desc("score"), F.desc(F.size("pattern")), F.col("pattern")]
+    tests = (
+        (lambda f: dedup.by_overlap(f, better), lambda a, b: len(a) == len(b) and 2 * len(a & b) >= len(a)),
+        (lambda f: dedup.by_subset(f, better), lambda a, b: a <= b or b <= a),
+        (lambda f: dedup.by_effect(f, "score"), lambda a, b: len(a & b) >= max(1, min(len(a), len(b)) // 2)),
+    )
+    for made, linked in tests:
+        best = {min(group, key=lambda k: (-rows[k][2], -len(rows[k][0]), rows[k][0])) for group in clusters(rows, linked)}
+        got = {(tuple(r.pattern), r.event_name) for r in made(frame).collect()}
+        assert got == {(tuple(rows[k][0]), rows[k][1]) for k in best}
 
 
 def test_dedup(spark):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from uuid import uuid4
 
@@ -54,10 +57,26 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_WORK: ContextVar[tuple[list[str], ...]] = ContextVar("tables", default=())
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths of all tables that are stored inside, for :func:`delete` once what was made of them is written."""
+    held: list[str] = []
+    token = _WORK.set((*_WORK.get(), held))
+    try:
+        yield held
+    finally:
+        _WORK.reset(token)
+
+
 def store(frame: DataFrame) -> DataFrame:
     """The same as :func:`cut` in columns: smaller where values repeat, for wide or large frames."""
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid4()}"
     temporary(frame.sparkSession, path)
+    for held in _WORK.get():
+        held.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
 from uuid import uuid4
@@ -74,8 +75,8 @@ def r5_csv(spark, d):
     return rows.select("name", readers.number_or("key").alias("key"))
 
 
-def _workbook(path: str, sheets: dict[str, list[list]]) -> None:
-    """The least that makes a workbook: sheets of numbers and texts, some of the texts shared, some cells left out."""
+def _workbook(path, sheets: dict[str, list[list]]) -> None:
+    """The least that makes a workbook, at a path or in a file: sheets of numbers and texts, some of the texts shared, some cells left out."""
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     texts: dict[str, int] = {}
 
@@ -96,6 +97,24 @@ def _workbook(path: str, sheets: dict[str, list[list]]) -> None:
         out.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"""<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>""" for k in range(1, len(sheets) + 1))}</Relationships>')
 
 
+def r6_workbook(spark, d):
+    """The nations and regions as two sheets of a workbook, and their union read back."""
+    sheets = {}
+    for name, table in (("Nations", "nation"), ("Regions & co", "region")):
+        key, text = f"{table[0]}_{table}key", f"{table[0]}_name"
+        rows = base.table(spark, d, table).select(key, text).orderBy(key).limit(100).collect()
+        sheets[name] = [["no", "Name", "day"]] + [[r[0], r[1], 40_000.5 + r[0]] for r in rows]
+    made = io.BytesIO()
+    _workbook(made, sheets)
+    context, path = spark.sparkContext, f"{_folder(spark)}/book.xlsx"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(made.getvalue()))
+    out.close()
+    rows = readers.workbook(spark, path, list(sheets), ["Name", "no", "day"])
+    return rows.select(F.col("Name").alias("name"), readers.number_or("no").alias("no"), F.date_format(readers.serial_date("day"), "yyyy-MM-dd HH:mm").alias("day"))
+
+
 def f12_first(spark, d):
     """For each brand, its first order at or after the middle of the axis, and the first after that place, as ranks."""
     half = base.length(spark, d) // 2
@@ -217,7 +236,7 @@ def x11_figure(spark, d):
     return at._rounded(experiments.figure_series(spark, FIGURE, (1001, 1002), 50, 3), "value")
 
 
-QUERIES = [r1_basket_file, r2_flat_file, r3_events, r4_settings, r5_csv, r16_truth, w4_json, f4_flat_postings, f12_first, m5_as_baskets, y1_synthetic, y3_rescaled, y5_scenarios, y6_scenarios, y7_injection, x3_conditions, x4_null, x5_lengths, x9_semi_synthetic, x11_figure]
+QUERIES = [r1_basket_file, r2_flat_file, r3_events, r4_settings, r5_csv, r6_workbook, r16_truth, w4_json, f4_flat_postings, f12_first, m5_as_baskets, y1_synthetic, y3_rescaled, y5_scenarios, y6_scenarios, y7_injection, x3_conditions, x4_null, x5_lengths, x9_semi_synthetic, x11_figure]
 
 # --- SQL -------------------------------------------------------------------
 
@@ -259,6 +278,7 @@ SQL = {
     "r3_events": f'with{SQL_BASE} select event_id, name, start, "end" from ev',
     "r4_settings": "select * from (values ('window_size', 100::bigint), ('min_support', 8), ('max_length', 3)) as t(name, value)",
     "r5_csv": "select c_name as name, c_custkey::bigint as key from customer",
+    "r6_workbook": "select name, k as no, strftime(timestamp '1899-12-30' + interval 1 day * (40000 + k) + interval 12 hour, '%Y-%m-%d %H:%M') as day from (select n_name as name, n_nationkey::bigint as k from nation union all select r_name, r_regionkey::bigint from region)",
     "r16_truth": reports.SQL["y2_ground_truth"],
     "w4_json": "select c_custkey::bigint as c_custkey, round(c_acctbal::double / 7, 3) as share from customer",
     "f4_flat_postings": f"with{SQL_BASE} select item, t from occ",
