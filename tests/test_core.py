@@ -237,7 +237,8 @@ def test_readers(spark, tmp_path):
 def test_components(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got, local = ({r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), local=n).collect()} for n in (0, 10_000))
+    assert got == local
     parent = {x: x for e in edges for x in e}
 
     def root(x):
