@@ -188,9 +188,10 @@ def _judged(base: DataFrame, cutoff: float, least: int) -> DataFrame:
 def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", ident: str = "doc_id", cutoff: float = CUTOFF, least: int = 50, min_words: int = 50) -> DataFrame:
     """The documents that :func:`judge` keeps, with their columns.
 
-    Texts are read and measured once: those that pass the base rules are
-    written with their measures, whose columns alone the estimates read.
+    Texts are read and measured once, and written with their measures, whose
+    columns alone the estimates read. (A filter on the base rules before the
+    table is written would be pushed down and measure each text again.)
     """
-    base = store(_measured(docs, text, lang, source, ident, True, min_words).where(~F.col("base_failed")).drop("s"))
+    base = store(_measured(docs, text, lang, source, ident, True, min_words).drop("s"))
     judged = _judged(base, cutoff, least).where("kept")
     return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
