@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
 from tideline.llm.text import small_batches, whole
 from tideline.operators.graph import connected_components
 
 #: One text in ``SAMPLE`` is looked at for frequent shingles: those of ``OFTEN`` such texts, ``MOST`` of them (32 MB).
-SAMPLE, OFTEN, MOST = 4, 2, 2_000_000
+SAMPLE, OFTEN, MOST = 16, 2, 2_000_000
 #: Sets that share a shingle and are compared all with all at once; bits of a bitmap.
 FEW, BUCKETS = 32, 512
 
@@ -172,15 +172,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, members) -> DataFrame:
     left = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bitmap").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bitmap").alias("y")), "b")
     left = cut(both.select("a", "b", "n", "m", "x", "y").mapInArrow(thin, "a long, b long"))
-    have = cut(members(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    have = store(members(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     both = left.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
 def similar_pairs(sets: DataFrame, members) -> DataFrame:
     """``a, b``: links among nodes that have the same components as all pairs of similar sets.
 
-    ``sets`` has a row for each node: ``node, size, prefix, bitmap``. ``members(nodes)``
+    ``sets`` has ``node, size, prefix, bitmap``, a row for each node (or several equal ones). ``members(nodes)``
     gives ``node, members`` (the sorted 64-bit members as binary) for those that are asked for.
     """
     rows = sets.select(F.posexplode("prefix").alias("place", "gram"), "node", F.col("size")).select("gram", "node", "size", "place")

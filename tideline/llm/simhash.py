@@ -220,11 +220,14 @@ def _by_sets(keyed: DataFrame, kind: str, width: int, dense: int) -> tuple[DataF
     shape = f"doc_id {kind}, k1 long, k2 long, point long, node long, size int, prefix array<long>, bitmap binary"
     own = store(keyed.select("doc_id", "k1", "k2", whole("text").cast("binary").alias("text")).mapInArrow(run, shape))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    nodes = cut(own.groupBy("node").agg(F.min(first).alias("first"), F.min(F.struct("k1", "k2")).alias("of")))
-    sets = store(own.select("node", "size", "prefix", "bitmap").dropDuplicates(["node"]))
+    nodes = cut(own.groupBy("node").agg(F.min(first).alias("first"), F.min(F.struct("k1", "k2")).alias("of"), F.count("*").alias("times")))
+    # a set that several texts have speaks through one of them; the others are left out where they are read
+    shared = nodes.where("times > 1").select("node", "of")
+    shared = F.broadcast(shared) if nodes.where("times > 1").count() <= SEND_KEYS else shared
+    sets = own.join(shared, "node", "left").where("of is null or (of.k1 = k1 and of.k2 = k2)").select("node", "size", "prefix", "bitmap")
 
     def members(asked: DataFrame) -> DataFrame:
-        """The sets of the nodes asked for, made again from one text each."""
+        """The sets of the nodes asked for, made again from one text each (or from the rows that are equal to it)."""
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -233,7 +236,7 @@ def _by_sets(keyed: DataFrame, kind: str, width: int, dense: int) -> tuple[DataF
         keys = cut(nodes.join(asked, "node", "left_semi").select("node", "of.k1", "of.k2"))
         keys = F.broadcast(keys) if keys.count() <= ASKED else keys
         texts = keyed.join(keys, ["k1", "k2"]).select("node", whole("text").cast("binary").alias("text"))
-        return texts.mapInArrow(read, "node long, members binary").dropDuplicates(["node"])
+        return texts.mapInArrow(read, "node long, members binary")
 
     points = own.groupBy("point").agg(F.min("node").alias("least"))
     names = points.select("point", "least")
