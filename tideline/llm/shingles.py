@@ -30,8 +30,8 @@ from tideline.operators.graph import connected_components
 
 #: One text in ``SAMPLE`` is looked at for frequent shingles: those of ``OFTEN`` such texts, ``MOST`` of them (32 MB).
 SAMPLE, OFTEN, MOST = 16, 2, 2_000_000
-#: Sets that share a shingle and are compared all with all at once; bits of a bitmap.
-FEW, BUCKETS = 32, 512
+#: Sets that share a shingle and are compared all with all at once, where more are first chained; bits of a bitmap.
+FEW, BUCKETS = 3, 512
 
 
 def hashes(text: bytes, width: int) -> np.ndarray:
@@ -91,35 +91,57 @@ def _grouped(rows: DataFrame, pick, rest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        crowd: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
+            nonlocal waiting
             columns = [np.concatenate(c) for c in zip(*held)]
             n = len(columns[0])
             if n < 2:
                 return
-            found = list(pick(few, *columns))
-            if found:
-                x, y = (np.concatenate(z) for z in zip(*found))
-                m = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), empty(m, pa.int64()), empty(m, pa.int32()), empty(m, pa.int32())], ["a", "b", "gram", "size", "place"])
+            for x, y in pick(few, *columns):
+                pairs.append((np.minimum(x, y), np.maximum(x, y)))
+                waiting += len(x)
             if rest and n > few:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), empty(n, pa.int64()), pa.array(np.full(n, at)), pa.array(columns[1]), pa.array(columns[2])], ["a", "b", "gram", "size", "place"])
+                crowd.append((columns[0], np.full(n, at), columns[1], columns[2]))
+                waiting += n
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if pairs:
+                x, y = (np.concatenate(z) for z in zip(*pairs))
+                m = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), empty(m, pa.int64()), empty(m, pa.int32()), empty(m, pa.int32())], ["a", "b", "gram", "size", "place"])
+            if crowd:
+                own, grams, sizes, places = (np.concatenate(z) for z in zip(*crowd))
+                yield pa.RecordBatch.from_arrays([pa.array(own), empty(len(own), pa.int64()), pa.array(grams), pa.array(sizes), pa.array(places)], ["a", "b", "gram", "size", "place"])
+            pairs.clear()
+            crowd.clear()
+            waiting = 0
 
         for batch in batches:
             gram = batch["gram"].to_numpy()
             if not len(gram):
                 continue
-            columns = [batch[c].to_numpy() for c in names]
-            edges = [0, *(np.flatnonzero(gram[1:] != gram[:-1]) + 1).tolist(), len(gram)]
-            for i, j in zip(edges, edges[1:]):
+            columns = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BUCKETS // 8) if c == "bitmap" else batch[c].to_numpy() for c in names]
+            edges = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]))
+            # most shingles are in one set alone; only the first and last of a batch may go on in another
+            several = np.diff(edges) > 1
+            several[[0, -1]] = True
+            for i, j in zip(edges[:-1][several].tolist(), edges[1:][several].tolist()):
                 if at is not None and at != gram[i]:
                     if len(held) > 1 or len(held[0][0]) > 1:
-                        yield from close()
+                        close()
                     held = []
                 at = gram[i]
                 held.append([c[i:j] for c in columns])
+            if waiting > 20_000:
+                yield from out()
         if held:
-            yield from close()
+            close()
+        yield from out()
 
     return rows.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(run, "a long, b long, gram long, size int, place int")
 
@@ -141,26 +163,40 @@ def _all_or_next(few: int, node: np.ndarray, size: np.ndarray, place: np.ndarray
             yield np.full(len(b), node[i]), b
 
 
-def _apart(few: int, node: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits bitmaps differ, row by row."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _apart(few: int, node: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray, bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in different components that may be similar by sizes, places and bitmaps."""
     for i in range(len(node) - 1):
         end = int(np.searchsorted(size, 5 * size[i] // 4, "right"))
         others = slice(i + 1, max(end, i + 1))
-        b = node[others][_may(size, place, i, others) & (component[others] != component[i])]
-        if len(b):
-            yield np.full(len(b), node[i]), b
+        near = np.flatnonzero(_may(size, place, i, others) & (component[others] != component[i])) + i + 1
+        near = near[9 * _differ(bitmap[near], bitmap[i]) <= size[i] + size[near]]
+        if len(near):
+            yield np.full(len(near), node[i]), node[near]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, members) -> DataFrame:
-    """The pairs that are similar indeed."""
+def _thinned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their bitmaps."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BUCKETS // 8) for c in ("x", "y"))
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                near = 9 * differ <= batch["n"].to_numpy() + batch["m"].to_numpy()
+                near = 9 * _differ(x, y) <= batch["n"].to_numpy() + batch["m"].to_numpy()
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
+    left = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bitmap").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bitmap").alias("y")), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(thin, "a long, b long")
+
+
+def _similar(pairs: DataFrame, members) -> DataFrame:
+    """The pairs that are similar indeed."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
@@ -169,9 +205,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, members) -> DataFrame:
                 near.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    left = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bitmap").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bitmap").alias("y")), "b")
-    left = cut(both.select("a", "b", "n", "m", "x", "y").mapInArrow(thin, "a long, b long"))
+    left = cut(pairs)
     have = store(members(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     both = left.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
@@ -185,10 +219,10 @@ def similar_pairs(sets: DataFrame, members) -> DataFrame:
     """
     rows = sets.select(F.posexplode("prefix").alias("place", "gram"), "node", F.col("size")).select("gram", "node", "size", "place")
     made = cut(_grouped(rows, _all_or_next, rest=True))
-    found = _similar(made.where("b is not null").select("a", "b"), sets, members)
+    found = _similar(_thinned(made.where("b is not null").select("a", "b"), sets), members)
     crowded = made.where("b is null").select("gram", F.col("a").alias("node"), "size", "place")
     if crowded.isEmpty():
         return found
     reached = connected_components(found)
-    labelled = crowded.join(reached, "node", "left").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("component"))
-    return found.unionByName(_similar(cut(_grouped(labelled, _apart, rest=False).select("a", "b")), sets, members))
+    labelled = crowded.join(reached, "node", "left").join(sets.select("node", "bitmap"), "node").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("component"), "bitmap")
+    return found.unionByName(_similar(_grouped(labelled, _apart, rest=False).select("a", "b").distinct(), members))
