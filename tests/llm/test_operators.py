@@ -188,6 +188,10 @@ def test_line_dedup(spark):
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == Counter(brute(10))
     got = {r.doc_id: r.kept_text for r in lines.drop_repeated_lines(frame, documents=2, keep_first=True).collect()}
     assert "the same LINE" in got[0] and "The SAME line" not in got[1] and seldom in got[0] and seldom not in got[5]
+    tied = docs(spark, [(None, "a line\nown 1"), (None, "a line\nown 2"), (3, "b line"), (3, "b line\nmore"), (4, "b line"), (None, "b line")])
+    for options in ({}, {"send_rows": 0}):
+        got = Counter((r.doc_id, r.kept_text) for r in lines.drop_repeated_lines(tied, documents=2, keep_first=True, **options).collect())
+        assert got == Counter([(None, "a line\nown 1"), (None, "a line\nown 2"), (3, "b line"), (3, "b line\nmore"), (4, ""), (None, "")])
     assert lines.drop_repeated_lines(frame.limit(0)).count() == 0
 
 

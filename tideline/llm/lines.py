@@ -169,8 +169,11 @@ def drop_repeated_lines(docs: DataFrame, *, text: str = "text", ident: str = "do
     """``doc_id, n_lines, n_dropped, kept_text, kept_sha256`` for each document.
 
     Lines whose key is in ``documents`` rows or more lose all their copies, or,
-    with ``keep_first``, all but those in the first document. The keys to drop go to all executors if they are within ``send_rows`` and
-    ``send_bytes``, both checked; else they are joined to the rows by a shuffle.
+    with ``keep_first``, all but those in the first document: the one with the
+    smallest ``doc_id``. Rows that share that id all keep the line, and so do
+    all rows with the line if none of them has an id. The keys to drop go to
+    all executors if they are within ``send_rows`` and ``send_bytes``, both
+    checked; else they are joined to the rows by a shuffle.
 
     Null or empty text: one empty line, which has no key and stays. Repeated
     rows count as documents of their own. Null ``doc_id`` stays null. Empty
