@@ -259,3 +259,64 @@ def test_pair_counts(spark):
     data = [[sorted({k % 12, k % 7, k % 5})] for k in range(80)]
     pairs = itemsets.mid_frequency_pairs(occ_of(spark, data), 2, low=2, high=10)
     assert len(pairs) == 2 and not Counter(x for p in pairs for x in p).most_common(1)[0][1] > 1
+
+
+def test_intersections_of_any_size_move_only_what_is_there(spark):
+    """Patterns of several sizes, with repeats, without order, of narrower numbers and of no items; and no row for each item of each pattern."""
+    draw = random.Random(33)
+    held = {key: draw.sample(range(12), draw.randint(0, 8)) for key in range(60)}
+    wanted = [[], [3], [5, 2], [2, 5], [4, 4, 1], [7, 1, 9], [0, 1, 2, 3], [99], [1, None]]
+    postings_of = spark.createDataFrame([(i, key, key * 10) for key, items in held.items() for i in items], "item long, key long, t long")
+    got = sorted((r.pattern, r.key, r.t) for r in postings.intersect(postings_of, spark.createDataFrame([(p,) for p in wanted], "pattern array<int>"), "key").collect())
+    assert got == sorted((p, key, key * 10) for p in wanted if p and None not in p for key, items in held.items() if set(p) <= set(items))
+    assert postings.intersect(postings_of, spark.createDataFrame([([],)], "pattern array<int>"), "key").columns == ["pattern", "key", "t"]
+    # ten keys with one item each, in hundreds of patterns
+    alone = spark.createDataFrame([(0, key) for key in range(10)], "item long, key long")
+    found = postings.intersect(alone, spark.createDataFrame([([0, k],) for k in range(1, 300)], "pattern array<long>"), "key")
+    seen = found.observe("met", F.count("*").alias("n"))
+    assert seen.count() == 0
+    plan = found._jdf.queryExecution()
+    found.collect()
+    made = [int(x) for x in rows_made(plan.executedPlan())]
+    assert max(made) <= 600
+
+
+def rows_made(plan):
+    """Rows that each node of a plan gave, those behind adaptive execution too."""
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            yield metric.get().value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+
+
+def test_crossings_of_a_window_of_one_and_of_no_threshold(spark):
+    frame, patterns = times(spark, {"a": [0, 3, 3, 4, 9]}), spark.createDataFrame([("a",)], "pattern string")
+    both = lambda theta: sorted((r.time, r.direction, r.before, r.after) for r in changes.threshold_crossings(frame, patterns, 1, 9, theta, 2).collect())
+    assert both(1) == [(0, "up", 0.0, 0.5), (1, "down", 1.0, 0.0), (3, "up", 0.0, 1.5), (5, "down", 1.5, 0.0)]
+    assert both(0) == [(0, "up", 0.0, 0.5)]
+
+
+def test_attribution_takes_the_times_that_are_there(spark, monkeypatch):
+    """Neither the transactions nor the series are made again, and only occurrences around change points are moved."""
+    from tideline.operators import pipeline
+
+    found = spark.createDataFrame([([1, 2], 100, 200)], "pattern array<long>, s long, e long")
+    own = spark.createDataFrame([([1, 2], t) for t in range(100, 220, 2)], "pattern array<long>, t long")
+    events = spark.createDataFrame([("C1", "x", 100, 120)], "event_id string, name string, start long, end long")
+    occ = spark.createDataFrame([(t, t, i) for t in range(100, 220, 2) for i in (1, 2)], "t long, basket_id long, item long")
+    for method in ("intervals", "threshold_crossing"):
+        config = pipeline.Config(window=10, theta=5, permutations=50, alpha=2.0, change_method=method)
+        expected = sorted(map(tuple, pipeline.attribute(found, occ, events, 1000, config).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(pipeline, "timestamps", None)
+            assert sorted(map(tuple, pipeline.attribute(found, occ, events, 1000, config, own).collect())) == expected and expected

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.durable import cut, ship
-from tideline.operators.postings import small
+from tideline.operators.dense import runs
+from tideline.operators.postings import SEND_ROWS, small
 from tideline.operators.support import BLOCK, positions, probe, steps
 
 
@@ -25,50 +26,45 @@ def from_intervals(intervals: DataFrame, times: DataFrame, window: int, n: int,
     top = positions(window, n)
     both = F.array(F.struct(F.col("s").alias("time"), F.lit("up").alias("direction")), F.struct((F.col("e") + 1).alias("time"), F.lit("down").alias("direction")))
     points = intervals.select("pattern", "s", "e", F.explode(both).alias("p")).select("pattern", "s", "e", "p.*").where((F.col("time") >= 0) & (F.col("time") < top))
-    low, high = F.greatest(F.col("time") - level, F.lit(0)), F.least(F.col("time") + level, F.lit(top)) - 1
-    around = points.select("pattern", "time").distinct().select("pattern", "time", F.explode(F.sequence(low, high)).alias("t"))
-    support = probe(times, around, window)
-    means = around.join(support, ["pattern", "t"]).groupBy("pattern", "time").agg(
-        F.coalesce(F.avg(F.when(F.col("t") < F.col("time"), F.col("support"))), F.lit(0.0)).alias("before"),
-        F.coalesce(F.avg(F.when(F.col("t") >= F.col("time"), F.col("support"))), F.lit(0.0)).alias("after"),
-    )
-    up = F.col("direction") == "up"
-    change = F.when(up, F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
-    return points.join(means, ["pattern", "time"]).select("pattern", "s", "e", "time", "direction", F.greatest(F.lit(1.0), change).alias("magnitude"), "before", "after")
+    return _sized(points, times, window, top, level, "s", "e")
+
+
+def _sized(points: DataFrame, times: DataFrame, window: int, top: int, level: int, *more: str) -> DataFrame:
+    """Change points ``(pattern, time, direction)`` with the means of support on either side, and the magnitude.
+
+    An occurrence counts at as many of the positions on one side as its windows
+    begin at. Occurrences and points meet in buckets of ``window`` positions.
+    """
+    bucket = lambda c: F.floor(c / window)
+    time = F.col("time")
+    low, high = F.greatest(time - level, F.lit(0)), F.least(time + level, F.lit(top))
+    # the places are many fewer than the occurrences, of which only those around them are moved
+    asked = cut(points.select("pattern", "time").distinct())
+    near = asked.withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(F.greatest(high - 1, low) + window - 1))))
+    met = times.select("pattern", "t", bucket(F.col("t")).alias("bucket")).join(small(cut(near), 5 * SEND_ROWS), ["pattern", "bucket"])
+    covered = lambda first, last: F.greatest(F.least(last, F.col("t")) - F.greatest(first, F.col("t") - (window - 1)) + 1, F.lit(0))
+    sums = met.groupBy("pattern", "time").agg(F.sum(covered(low, time - 1)).alias("__before"), F.sum(covered(time, high - 1)).alias("__after"))
+    mean = lambda c, count: F.when(count > 0, F.coalesce(c, F.lit(0)) / F.greatest(count, F.lit(1)).cast("double")).otherwise(F.lit(0.0))
+    sized = points.join(sums, ["pattern", "time"], "left").withColumns({"before": mean(F.col("__before"), time - low), "after": mean(F.col("__after"), high - time)})
+    change = F.when(F.col("direction") == "up", F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
+    return sized.select("pattern", *more, "time", "direction", F.greatest(F.lit(1.0), change).alias("magnitude"), "before", "after")
 
 
 def threshold_crossings(times: DataFrame, patterns: DataFrame, window: int, n: int, theta: int, level: int = 20, block: int = BLOCK) -> DataFrame:
     """Where the support of a pattern rises to ``theta`` or falls below it; the series before its first position counts as below.
 
-    Works on stretches of equal support, in blocks of the axis that see ``level``
-    positions beyond their ends, which is as far as the means look.
+    The positions with support ``theta`` or more are runs of left ends, found in
+    blocks of the axis; only around their ends is the support looked at.
     """
-    top, wide = positions(window, n), max(block, 8 * window, 4 * (level + 1))
-    order = Window.partitionBy("pattern", "block").orderBy("a")
-    found = steps(times, patterns, window, n, block=block, margin=level + 1)
-    # what starts up to ``level`` positions before and after, and the stretch that the first of those positions lies in
-    near = F.collect_list(F.struct("a", "b", "support"))
-    found = found.withColumns({
-        "was": F.coalesce(F.lag(F.col("support") >= theta).over(order), F.lit(False)),
-        "earlier": F.last(F.struct("a", "b", "support")).over(order.rangeBetween(Window.unboundedPreceding, -level)),
-        "around": near.over(order.rangeBetween(-(level - 1), level - 1)),
-    })
-    own = (F.col("a") >= F.col("block") * wide) & (F.col("a") < (F.col("block") + 1) * wide)
-    # a block's first stretch has nothing before it, but only the first block's is its own
-    points = found.withColumn("now", F.col("support") >= theta).where(own & (F.col("now") != F.col("was")))
-    every = F.when(F.col("earlier").isNull(), F.col("around")).otherwise(F.concat(F.array("earlier"), F.col("around")))
-
-    def mean(low: Column, high: Column) -> Column:
-        length = lambda x: F.greatest(F.least(x["b"], high) - F.greatest(x["a"], low) + 1, F.lit(0))
-        total = F.aggregate(every, F.lit(0).cast("long"), lambda s, x: s + length(x) * x["support"])
-        count = high - low + 1
-        return F.when(count > 0, total / F.greatest(count, F.lit(1)).cast("double")).otherwise(F.lit(0.0))
-
-    before = mean(F.greatest(F.col("a") - level, F.lit(0)), F.col("a") - 1)
-    after = mean(F.col("a"), F.least(F.col("a") + level, F.lit(top)) - 1)
-    marked = points.select("pattern", F.col("a").alias("time"), "now", before.alias("before"), after.alias("after"))
-    change = F.when(F.col("now"), F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
-    return marked.select("pattern", "time", F.when(F.col("now"), "up").otherwise("down").alias("direction"), F.greatest(F.lit(1.0), change).alias("magnitude"), "before", "after")
+    top = positions(window, n)
+    inside = times.where((F.col("t") >= 0) & (F.col("t") < n))
+    if theta < 1:
+        above = patterns.select("pattern").distinct().select("pattern", F.lit(0).cast("long").alias("s"), F.lit(top - 1).cast("long").alias("e"))
+    else:
+        above = runs(inside, window - 1, theta, block=block, least=0).select("pattern", F.greatest("s", F.lit(0)).cast("long").alias("s"), "e").where("e >= 0")
+    both = F.array(F.struct(F.col("s").alias("time"), F.lit("up").alias("direction")), F.struct((F.col("e") + 1).alias("time"), F.lit("down").alias("direction")))
+    points = above.select("pattern", F.explode(both).alias("p")).select("pattern", "p.*").where(F.col("time") < top)
+    return _sized(points, inside, window, top, level)
 
 
 def alarms(a: int, b: int, gain: float, held: float, bound: float) -> tuple[list[int], list[float], float]:

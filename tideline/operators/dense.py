@@ -26,19 +26,20 @@ from tideline.operators.intervals import merge, overlap
 BLOCK = 1 << 16
 
 
-def check(window: int, theta: int) -> None:
-    if window < 1 or theta < 1:
+def check(window: int, theta: int, least: int = 1) -> None:
+    if window < least or theta < 1:
         raise ValueError("window and theta must be at least 1")
 
 
-def runs(times: DataFrame, window: int, theta: int, *keys: str, convention: str = "left_endpoint", block: int = BLOCK) -> DataFrame:
+def runs(times: DataFrame, window: int, theta: int, *keys: str, convention: str = "left_endpoint", block: int = BLOCK, least: int = 1) -> DataFrame:
     """``(keys..., s, e)``, the maximal dense intervals of each key's bag of times ``t``.
 
     ``left_endpoint``: the run of dense left ends; ``s`` may be negative.
     ``span``: from the first occurrence of the run to the last one that its
-    windows hold, kept if it is at least ``window`` wide.
+    windows hold, kept if it is at least ``window`` wide. ``least``: the
+    narrowest window that is allowed; one of 0 holds a single position.
     """
-    check(window, theta)
+    check(window, theta, least)
     if convention not in ("left_endpoint", "span"):
         raise ValueError(f"no convention {convention}")
     keys = keys or ("pattern",)

@@ -43,17 +43,18 @@ class Config:
     independent: bool = False
 
 
-def attribute(dense: DataFrame, occ: DataFrame, events: DataFrame, n: int, config: Config) -> DataFrame:
+def attribute(dense: DataFrame, occ: DataFrame, events: DataFrame, n: int, config: Config, times: DataFrame | None = None) -> DataFrame:
     """Significant attributions of ``dense`` patterns to ``events``.
 
     ``unit='interval'`` tests each interval of a pattern against each event,
     ``unit='pattern'`` pools a pattern's intervals. With ``change_method``
     ``threshold_crossing`` or ``cusum`` the change points come from the support
-    series (A11), and the unit is the pattern.
+    series (A11), and the unit is the pattern. ``times``: the transactions of
+    the patterns (:func:`timestamps`), if they are there already.
     """
     top = positions(config.window, n)
     chosen = dense.where(F.size("pattern") >= config.min_length).select("pattern", "s", "e")
-    times = cut(timestamps(occ, chosen))
+    times = cut(timestamps(occ, chosen)) if times is None else times
     if config.min_range > 0:
         chosen = chosen.join(changes.sampled_range(chosen, times, config.window, n, config.min_range), "pattern", "left_semi")
     if config.change_method == "intervals":

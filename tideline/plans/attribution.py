@@ -133,29 +133,29 @@ def a10_within_pattern(spark, d):
 
 def a11_series_attribution(spark, d):
     """From threshold crossings of the series, within each pattern."""
-    found, _, events, n, own = _given(spark, d)
+    found, times, events, n, own = _given(spark, d)
     config = pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA, change_method="threshold_crossing", global_correction=False, correction="bonferroni")
-    rows = pipeline.attribute(found, own, events, n, config)
+    rows = pipeline.attribute(found, own, events, n, config, times)
     return _rounded(rows.select(base.text(), "event_name", "time", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
 def a12_attribution(spark, d):
     """The whole chain: mining, change points, permutation test over intervals, correction."""
-    found, _, events, n, own = _given(spark, d)
-    rows = pipeline.attribute(found, own, events, n, CONFIG)
+    found, times, events, n, own = _given(spark, d)
+    rows = pipeline.attribute(found, own, events, n, CONFIG, times)
     return _rounded(rows.select(base.text(), "interval_start", "interval_end", "time", "direction", "event_name", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
 def a12_every_hypothesis(spark, d):
     """The same with every hypothesis kept, whatever its p."""
-    found, _, events, n, own = _given(spark, d)
-    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=2.0))
+    found, times, events, n, own = _given(spark, d)
+    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=2.0), times)
     return _rounded(rows.select(base.text(), "interval_start", "interval_end", "time", "direction", "event_name", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 
 def a13_pooled_attribution(spark, d):
-    found, _, events, n, own = _given(spark, d)
-    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA, unit="pattern"))
+    found, times, events, n, own = _given(spark, d)
+    rows = pipeline.attribute(found, own, events, n, pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA, unit="pattern"), times)
     return _rounded(rows.select(base.text(), "event_name", "time", "score", "p_value", "adjusted"), "score", "p_value", "adjusted")
 
 

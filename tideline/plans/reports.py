@@ -16,8 +16,8 @@ CONFIG = pipeline.Config(window=W, theta=TH, permutations=at.SHIFTS, alpha=at.AL
 
 
 def _attributed(spark, d):
-    found, _, events, n, own = at._given(spark, d)
-    return base.held(spark, d, "attributed", lambda: cut(pipeline.attribute(found, own, events, n, CONFIG))), found, events, own
+    found, times, events, n, own = at._given(spark, d)
+    return base.held(spark, d, "attributed", lambda: cut(pipeline.attribute(found, own, events, n, CONFIG, times))), found, events, own
 
 
 def _truth(found, events):
