@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
 from tideline.operators.dense import check, runs, runs_within, scanned_within
 from tideline.operators.intervals import at_least, overlap
 from tideline.operators.postings import SEND_ROWS, by_transaction, small
@@ -56,9 +56,9 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
     found = [shown.select("pattern", F.lit(1).alias("size"), "s", "e")]
     level = shown.select("pattern").distinct()
     items = level.select(F.col("pattern")[0].alias("item"))
-    base = cut(occ.join(small(items), "item", "left_semi").select("basket_id", "t", "item"))
+    base = store(occ.join(small(items), "item", "left_semi").select("basket_id", "t", "item"))
     # the items of a basket as one array: a basket of k items never makes k * k rows, only those that a candidate asks for
-    baskets = cut(base.groupBy("basket_id").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1))
+    baskets = store(base.groupBy("basket_id").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1))
     held = base.select("basket_id", "t", F.array("item").alias("pattern"))
     ranges, dense = first, shown
     single_ranges = first.select(F.col("pattern")[0].alias("__item"), "s", "e")
@@ -74,7 +74,7 @@ def dense_itemsets(occ: DataFrame, window: int, theta: int, max_length: int = 10
         wanted = cut(wanted)
         total = wanted.agg(F.sum(F.size("next"))).first()[0] or 0
         grown = held.join(F.broadcast(wanted) if total <= 5 * SEND_ROWS else wanted, "pattern").join(baskets, "basket_id").select("basket_id", "t", "pattern", F.explode(F.array_intersect("next", "items")).alias("item"))
-        held = cut(grown.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")))
+        held = store(grown.select("basket_id", "t", F.concat("pattern", F.array("item")).alias("pattern")))
         dense = cut(within(held.select("pattern", "t"), window, theta, allowed, convention=convention))
         level = dense.select("pattern").distinct()
         if size < max_length:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
 from tideline.operators import attribution, baselines, changes
 from tideline.operators.correction import corrected, significant
 from tideline.operators.dedup import best_per_pair, by_score
@@ -54,7 +54,7 @@ def attribute(dense: DataFrame, occ: DataFrame, events: DataFrame, n: int, confi
     """
     top = positions(config.window, n)
     chosen = dense.where(F.size("pattern") >= config.min_length).select("pattern", "s", "e")
-    times = cut(timestamps(occ, chosen)) if times is None else times
+    times = store(timestamps(occ, chosen)) if times is None else times
     if config.min_range > 0:
         chosen = chosen.join(changes.sampled_range(chosen, times, config.window, n, config.min_range), "pattern", "left_semi")
     if config.change_method == "intervals":

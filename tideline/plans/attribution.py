@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
 from tideline.operators import attribution, baselines, changes, correction, dedup, pipeline, postings, relations, support
 from tideline.operators.graph import connected_components
 from tideline.plans import base
@@ -18,7 +18,7 @@ CONFIG = pipeline.Config(window=W, theta=TH, permutations=SHIFTS, alpha=ALPHA)
 def _given(spark, d):
     found, own = base.pairs(spark, d)
     n = base.length(spark, d)
-    return found, base.held(spark, d, "times", lambda: cut(postings.timestamps(own, found))), base.events(spark, n), n, own
+    return found, base.held(spark, d, "times", lambda: store(postings.timestamps(own, found))), base.events(spark, n), n, own
 
 
 def _points(spark, d):

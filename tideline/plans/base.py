@@ -13,7 +13,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.durable import cut
+from tideline.durable import cut, store
 from tideline.operators.itemsets import dense_itemsets
 from tideline.operators.postings import dictionary, ordered_index, small
 
@@ -66,13 +66,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occ(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(t, basket_id, item)``, one basket per order."""
-    return held(spark, sf_dir, "occ", lambda: cut(lines(spark, sf_dir).select("t", F.col("t").alias("basket_id"), "item").distinct()))
+    return held(spark, sf_dir, "occ", lambda: store(lines(spark, sf_dir).select("t", F.col("t").alias("basket_id"), "item").distinct()))
 
 
 def occ_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a basket for each return flag of an order; the number of a basket is 3 t + the flag's place."""
     place = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return held(spark, sf_dir, "occ_baskets", lambda: cut(lines(spark, sf_dir).select("t", (3 * F.col("t") + place).alias("basket_id"), "item").distinct()))
+    return held(spark, sf_dir, "occ_baskets", lambda: store(lines(spark, sf_dir).select("t", (3 * F.col("t") + place).alias("basket_id"), "item").distinct()))
 
 
 def length(spark: SparkSession, sf_dir: str) -> int:
