@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -57,6 +58,15 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the executors delete the shuffles of frames that nothing refers to any more, as those behind :func:`cut` and :func:`store`.
+
+    Spark does so when the driver's JVM collects the frames, which with a large heap comes long after their use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _WORK: ContextVar[tuple[list[str], ...]] = ContextVar("tables", default=())
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.durable import cut, store
+from tideline.durable import cut, release, store
 from tideline.llm.text import small_batches, whole
 from tideline.operators.graph import connected_components
 
@@ -206,9 +206,13 @@ def _similar(pairs: DataFrame, members) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     left = cut(pairs)
+    release(left.sparkSession)
     have = store(members(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     both = left.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
+    near = cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
+    del both
+    release(near.sparkSession)
+    return near
 
 
 def similar_pairs(sets: DataFrame, members) -> DataFrame:
@@ -219,6 +223,7 @@ def similar_pairs(sets: DataFrame, members) -> DataFrame:
     """
     rows = sets.select(F.posexplode("prefix").alias("place", "gram"), "node", F.col("size")).select("gram", "node", "size", "place")
     made = cut(_grouped(rows, _all_or_next, rest=True))
+    release(made.sparkSession)
     found = _similar(_thinned(made.where("b is not null").select("a", "b"), sets), members)
     crowded = made.where("b is null").select("gram", F.col("a").alias("node"), "size", "place")
     if crowded.isEmpty():
