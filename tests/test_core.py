@@ -329,7 +329,8 @@ def test_shuffles_behind_stored_frames_are_deleted(spark):
 
     files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
     release(spark)
-    kept = cut(spark.range(1000).repartition(3))
+    # Spark itself refers to the last shuffle until the next one
+    kept = cut(cut(spark.range(1000).repartition(3)).repartition(5))
     made = files()
     release(spark)
     until = time.monotonic() + 10
