@@ -4,7 +4,9 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tideline.durable import shared_folder
 from tideline.llm import binary, decontaminate, licences, lines, mixing, quality, secrets, simhash, suffixes, tokens
 from tideline.llm.catalog import tokenizer
 
@@ -319,6 +322,42 @@ def test_binary_round_trip(spark, tmp_path):
     assert binary.training_shards(docs(spark, rows).limit(0), path).count() == 0
 
 
+def test_binary_passes_hold_a_part_of_the_tokens(spark, tmp_path, monkeypatch):
+    """Between passes a shuffle holds its part of the tokens at most, and in the end none but the shards do."""
+    draw = random.Random(11)
+    rows = [(k, " ".join(draw.choice("aeiou") + draw.choice("bdfgklmnprst") * draw.randint(1, 3) + str(draw.randint(0, 99_999)) for _ in range(400))) for k in range(300)]
+    docs(spark, rows).repartition(6).write.parquet(str(tmp_path / "docs"))
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    tables, shuffled = set(shared.glob("table-*")), []
+    local = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f: f.stat().st_size for x in local for f in x.glob("*/shuffle_*.data") if f.exists()}
+    before = set(shuffles())
+
+    def stored(frame, *args, own=binary.store, **kwargs):
+        out = own(frame, *args, **kwargs)
+        for _ in range(50):  # executors delete them soon after
+            held = sum(size for f, size in shuffles().items() if f not in before)
+            if held < 50_000:
+                break
+            time.sleep(0.1)
+        shuffled.append(held)
+        return out
+
+    monkeypatch.setattr(binary, "store", stored)
+    out = binary.training_shards(spark.read.parquet(str(tmp_path / "docs")), tokenizer("byte_bpe_50k.tiktoken"), uri=f"file:{tmp_path}/shards", length=128, per_shard=64)
+    got = out.collect()
+    shuffled.append(sum(size for f, size in shuffles().items() if f not in before))
+    size = sum(f.stat().st_size for f in (tmp_path / "shards").glob("shard-*.bin"))
+    assert size > 900_000 and max(shuffled) < size / 2, (size, shuffled)
+    assert not [x for x in set(shared.glob("table-*")) - tables if "tokens" in spark.read.parquet(str(x)).columns]
+    # in ranges of shards and sorted by slot, whatever the passes
+    assert [r.slot for r in got] == list(range(len(got))) and sum(len(r.tokens) for r in got) == size
+    assert b"".join(bytes(r.tokens) for r in got) == b"".join(f.read_bytes() for f in sorted((tmp_path / "shards").glob("shard-*.bin")))
+    monkeypatch.setattr(binary, "PASSES", 1)
+    whole = binary.training_shards(spark.read.parquet(str(tmp_path / "docs")), tokenizer("byte_bpe_50k.tiktoken"), length=128, per_shard=64).collect()
+    assert [r[4:] for r in whole] == [r[4:] for r in got]
+
+
 def test_licences(spark):
     rows = [(1, "Some code.\nLicensed under the Apache License, Version 2.0.\nmore", "/a/x.py"), (2, "nothing here", "/a/b/c/y.py"), (3, "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "/a/b/LICENSE"), (4, "nothing", "/z/q.py"), (5, None, "/a/b/n.py"), (6, "", None), (None, "Released under the MIT License.", "/z/w.py"), (7, "nothing " * 9000, "/a/b/LICENSE.txt"), (8, "the license of poets", "/z/p.py"), (8, "the license of poets", "/z/p.py")]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, path string, term string, k1 long")

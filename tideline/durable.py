@@ -67,6 +67,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has its shuffles deleted as soon as it ends; a later read of one of them would compute it again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 _WORK: ContextVar[tuple[list[str], ...]] = ContextVar("tables", default=())
 
 
@@ -81,13 +93,13 @@ def tables() -> Iterator[list[str]]:
         _WORK.reset(token)
 
 
-def store(frame: DataFrame) -> DataFrame:
+def store(frame: DataFrame, compression: str | None = None) -> DataFrame:
     """The same as :func:`cut` in columns: smaller where values repeat, for wide or large frames."""
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid4()}"
     temporary(frame.sparkSession, path)
     for held in _WORK.get():
         held.append(path)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -13,7 +13,9 @@ the sequences are divided into that many equal stretches, each permuted in
 itself: the order of the input, a curriculum, holds from phase to phase.
 
 Slots divide into shards of ``per_shard`` sequences; each task takes a range of
-shards, in slot order, and writes them. Since every sequence has the same stride,
+shards, in slot order, and writes them. That is done in passes of a part of the
+shards each, so that only a part of the tokens lies in a shuffle at once; the
+rows then read their tokens from the shards. Since every sequence has the same stride,
 slot s lies at byte (s mod per_shard) * stride of shard s div per_shard, and
 reading can go on from any slot (:func:`read_slots`).
 """
@@ -24,7 +26,8 @@ import base64
 import contextlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.durable import cut, store
+from tideline.durable import cut, delete, shuffles_deleted, store, tables
 from tideline.llm.text import row_key, small_batches, whole
 
 LENGTH, PER_SHARD, KEY = 1024, 1024, 0x5DEECE66D
 #: Number of stretches (about 100 bytes each) whose places go to all executors at most; more are joined by a shuffle.
 SEND_STRETCHES = 500_000
 ROUNDS = 6
+#: Parts of the shards that are written one after the other; each reads the stored tokens again and shuffles its share of them.
+PASSES = 4
 
 
 def _round(right: np.ndarray, key: int, turn: int, bits: int) -> np.ndarray:
@@ -153,47 +158,74 @@ def training_shards(docs: DataFrame, ranks_path: str, *, uri: str | None = None,
     ``doc_ids``: the documents with tokens in the sequence, in order, each with
     the place where its tokens begin (``begins``). ``n_tokens`` is ``length``
     for all but the last sequence of the stream. With ``uri``, a folder that all
-    executors reach, the shards are written there as the rows are computed.
+    executors reach, the shards are written there before this returns, and the
+    rows read their tokens from them.
 
     The order of documents is that of the files by name, and of rows within
     them; the token table is written first, so it holds whatever task is lost.
+    Once the shards are there, it is deleted.
 
     Null and empty texts: the end mark alone. Repeated rows each have their
     tokens. Null ``doc_id`` stays null. Empty table: no rows. Extra columns are
     ignored. A very long text is cut into as many sequences as it needs.
     """
     spark, kind = docs.sparkSession, docs.schema[ident].dataType.simpleString()
-    made = store(token_stretches(docs, ranks_path, text=text, ident=ident, end=end))
+    with tables() as held:
+        made = store(token_stretches(docs, ranks_path, text=text, ident=ident, end=end), compression="zstd")
     sizes = made.groupBy("file", "first").agg(F.sum("n").alias("size"))
     # one row per stretch of a file that a task read
     order = Window.orderBy(F.length("file"), "file", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = cut(sizes.select("file", "first", "size", (F.sum("size").over(order) - F.col("size")).alias("base")))
     total, stretches = bases.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     n, bases = -(-total // length), bases.drop("size")
+    based = made.join(F.broadcast(bases) if stretches <= SEND_STRETCHES else bases, ["file", "first"]).select((F.col("base") + F.col("at")).alias("begin"), "doc_id", "tokens")
+    columns = f"slot long, shard long, path string, byte_offset long, doc_ids array<{kind}>, begins array<int>, n_tokens int"
+    shards = max(1, -(-n // per_shard))
+
+    def dealt(rows: DataFrame, low: int, high: int) -> DataFrame:
+        """Rows of the shards from ``low`` to ``high`` - 1, in ranges of them."""
+        count = high - low
+        tasks = max(min(count, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-count // 64))
+        # slots are evenly filled, so ranges of shards need no sample of the rows
+        return rows.repartitionById(tasks, F.floor((F.floor(F.col("slot") / per_shard) - low) * tasks / count).cast("int"))
+
+    def assembled(low: int, high: int) -> DataFrame:
+        placed = based.mapInArrow(_pieces(length, n, key, phases, low * per_shard, high * per_shard), f"slot long, begin int, doc_id {kind}, tokens binary")
+        return dealt(placed, low, high).sortWithinPartitions("slot", "begin").mapInArrow(_assemble(length, per_shard, end, uri), columns + ", tokens binary" * (uri is None))
+
+    if uri is None:
+        return assembled(0, shards)
+    passes, written = min(PASSES, shards), []
+    for turn in range(passes):
+        with shuffles_deleted(spark):
+            written.append(store(assembled(shards * turn // passes, shards * (turn + 1) // passes)))
+    for path in held:
+        delete(spark, path)
+    return dealt(reduce(DataFrame.unionByName, written), 0, shards).sortWithinPartitions("slot").mapInArrow(_read_back(uri, length), columns + ", tokens binary")
+
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(length: int, n: int, key: int, phases: int, low_slot: int, high_slot: int):
+    """Documents with their tokens become pieces of the sequences with slots from ``low_slot`` to ``high_slot`` - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begins, own = batch["begin"].to_numpy(), [b.as_buffer() for b in batch["tokens"]]
             lengths = np.array([b.size // 2 for b in own], np.int64)
             first, last = begins // length, (begins + lengths - 1) // length
             owner = np.repeat(np.arange(len(own)), last - first + 1)
             index = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+            where = slots(index, n, key, phases)
+            here = np.flatnonzero((where >= low_slot) & (where < high_slot))
+            owner, index, where = owner[here], index[here], where[here]
             low = np.maximum(index * length, begins[owner])
             high = np.minimum((index + 1) * length, begins[owner] + lengths[owner])
-            where = slots(index, n, key, phases)
             # a document of any length leaves in batches of a few megabytes
             for k in range(0, len(owner), 2048):
                 part = slice(k, k + 2048)
                 cuts = [own[o].slice(2 * (a - begins[o]), 2 * (b - a)).to_pybytes() for o, a, b in zip(owner[part], low[part], high[part])]
                 yield pa.RecordBatch.from_arrays([pa.array(where[part]), pa.array((low - index * length)[part].astype(np.int32)), batch["doc_id"].take(pa.array(owner[part])), pa.array(cuts, pa.binary())], ["slot", "begin", "doc_id", "tokens"])
 
-    based = made.join(F.broadcast(bases) if stretches <= SEND_STRETCHES else bases, ["file", "first"]).select((F.col("base") + F.col("at")).alias("begin"), "doc_id", "tokens")
-    placed = based.mapInArrow(pieces, f"slot long, begin int, doc_id {kind}, tokens binary")
-    shards = max(1, -(-n // per_shard))
-    tasks = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // 64))
-    # slots are evenly filled, so ranges of shards need no sample of the rows
-    dealt = placed.repartitionById(tasks, F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("slot", "begin")
-    return dealt.mapInArrow(_assemble(length, per_shard, end, uri), f"slot long, shard long, path string, byte_offset long, doc_ids array<{kind}>, begins array<int>, n_tokens int, tokens binary")
+    return run
 
 
 def _shard_name(shard: int) -> str:
@@ -247,8 +279,12 @@ class _Writer:
             self.at = self.out = None
 
 
+def _sequences(body: bytes, stride: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(stride), len(body) // stride, [None, pa.py_buffer(body)]).cast(pa.binary())
+
+
 def _assemble(length: int, per_shard: int, end: int, uri: str | None):
-    """Pieces in the order of slots and places become whole sequences."""
+    """Pieces in the order of slots and places become whole sequences; with ``uri`` their tokens go to the shards only."""
     stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,11 +303,13 @@ def _assemble(length: int, per_shard: int, end: int, uri: str | None):
                 body = body[:cut_at] + np.full((stride - sizes[short[0]]) // 2, end, "<u2").tobytes() + body[cut_at:]
             writer.write(int(own[0]), body, stride)
             shards = own // per_shard
-            return pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(shards), pa.array([writer.path(x) for x in shards.tolist()], pa.string()), pa.array(own % per_shard * stride), pa.ListArray.from_arrays(offsets, batch["doc_id"]), pa.ListArray.from_arrays(offsets, batch["begin"]),
-                 pa.array((sizes // 2).astype(np.int32)), pa.Array.from_buffers(pa.binary(stride), len(own), [None, pa.py_buffer(body)]).cast(pa.binary())],
-                ["slot", "shard", "path", "byte_offset", "doc_ids", "begins", "n_tokens", "tokens"],
-            )
+            columns = {
+                "slot": pa.array(own), "shard": pa.array(shards), "path": pa.array([writer.path(x) for x in shards.tolist()], pa.string()), "byte_offset": pa.array(own % per_shard * stride), "doc_ids": pa.ListArray.from_arrays(offsets, batch["doc_id"]),
+                "begins": pa.ListArray.from_arrays(offsets, batch["begin"]), "n_tokens": pa.array((sizes // 2).astype(np.int32)),
+            }
+            if uri is None:
+                columns["tokens"] = _sequences(body, stride)
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             if rest is not None:
@@ -288,6 +326,34 @@ def _assemble(length: int, per_shard: int, end: int, uri: str | None):
     return run
 
 
+def _read_back(uri: str, length: int):
+    """Rows in the order of slots get their tokens from the shards."""
+    stride = 2 * length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store_, path, file = _store(uri)[0], None, None
+        for batch in batches:
+            slot, shard, at = (batch[c].to_numpy() for c in ("slot", "shard", "byte_offset"))
+            # neighbouring slots of a shard are read at once
+            edges = np.flatnonzero(np.concatenate(([True], (np.diff(slot) != 1) | (np.diff(shard) != 0), [True]))) if len(slot) else []
+            bodies = []
+            for a, b in pairwise(map(int, edges)):
+                if batch["path"][a].as_py() != path:
+                    if file is not None:
+                        file.close()
+                    path = batch["path"][a].as_py()
+                    file = store_.open_input_file(path)
+                file.seek(int(at[a]))
+                bodies.append(file.read((b - a) * stride))
+                if len(bodies[-1]) != (b - a) * stride:
+                    raise OSError(f"{path} ends too early")
+            yield batch.append_column("tokens", _sequences(b"".join(bodies), stride))
+        if file is not None:
+            file.close()
+
+    return run
+
+
 def manifest(sequences: DataFrame) -> DataFrame:
     """``shard, path, first_slot, n_sequences`` of the rows of :func:`training_shards`."""
     return sequences.groupBy("shard").agg(F.min("path").alias("path"), F.min("slot").alias("first_slot"), F.count("*").alias("n_sequences"))
